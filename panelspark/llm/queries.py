@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .ego import embedding_near_duplicates
 from .jaccard import jaccard_components
+from .mixing import mix_sources
 from .packing import pack
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -27,6 +32,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mix_sources": op3_mix_sources,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
