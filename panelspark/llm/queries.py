@@ -11,6 +11,8 @@ from .ego import embedding_near_duplicates
 from .jaccard import jaccard_components
 from .mixing import mix_sources
 from .packing import pack
+from .pii import personal_data
+from .secret_scan import secret_spans
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,14 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -34,6 +44,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_personal_data": op7_personal_data,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
