@@ -1,0 +1,174 @@
+"""Weights from moments. Spark makes the N x N matrices; what is left is dense algebra of that size on the driver."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+
+from ..operators import matrices
+
+
+class OptimizationError(Exception):
+    """No weights satisfy the constraints."""
+
+
+def collected(series: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(assets, mean, covariance): N and N * N numbers, however long the panel."""
+    from pyspark.sql import functions as F
+
+    mean = {r["asset"]: r["m"] for r in series.groupBy("asset").agg(F.avg("r").alias("m")).collect()}
+    assets = sorted(mean)
+    at = {a: i for i, a in enumerate(assets)}
+    cov = np.zeros((len(assets), len(assets)))
+    for r in matrices.covariance(series).collect():
+        cov[at[r["asset_i"]], at[r["asset_j"]]] = r["v"]
+    return assets, np.array([mean[a] for a in assets]), cov
+
+
+def project_simplex(x: np.ndarray, total: float = 1.0) -> np.ndarray:
+    """The nearest non-negative vector with the given sum."""
+    s = np.sort(x)[::-1]
+    over = (np.cumsum(s) - total) / np.arange(1, len(x) + 1)
+    return np.maximum(x - over[np.flatnonzero(s > over)[-1]], 0)
+
+
+def minimise(cov: np.ndarray, mean: np.ndarray, aversion: float = 1.0, floor: float | None = None, rounds: int = 20_000) -> np.ndarray:
+    """Long-only weights of sum 1 that minimise aversion / 2 * variance - mean . w; with ``floor``, at least that expected return.
+
+    Accelerated projected gradients; the return floor enters through a multiplier found by bisection.
+    """
+    if floor is not None:
+        if floor > mean.max() + 1e-12:
+            raise OptimizationError("no asset reaches the return asked for")
+        low, high = 0.0, 1.0
+        w = minimise(cov, 0 * mean)
+        if mean @ w >= floor:
+            return w
+        while mean @ minimise(cov, high * mean) < floor and high < 1e9:
+            high *= 4
+        for _ in range(60):
+            mid = (low + high) / 2
+            w = minimise(cov, mid * mean)
+            low, high = (low, mid) if mean @ w >= floor else (mid, high)
+        return minimise(cov, high * mean)
+    q = aversion * cov
+    rate = 1 / max(np.linalg.eigvalsh(q)[-1], 1e-12)
+    w = np.full(len(mean), 1 / len(mean))
+    y, k = w, 1.0
+    for _ in range(rounds):
+        new = project_simplex(y - rate * (q @ y - mean))
+        if (y - new) @ (new - w) > 0:
+            k = 1.0
+        nk = (1 + np.sqrt(1 + 4 * k * k)) / 2
+        y, moved, w, k = new + (k - 1) / nk * (new - w), np.abs(new - w).max(), new, nk
+        if moved < 1e-13:
+            break
+    return w
+
+
+def maximum_sharpe(cov: np.ndarray, mean: np.ndarray, points: int = 40) -> np.ndarray:
+    """The best ratio along the efficient frontier, refined by golden section on the return."""
+    ratio = lambda f: (lambda w: mean @ w / np.sqrt(w @ cov @ w))(minimise(cov, mean, floor=f))
+    low, high = mean @ minimise(cov, 0 * mean), mean.max()
+    g = (np.sqrt(5) - 1) / 2
+    for _ in range(points):
+        a, b = high - g * (high - low), low + g * (high - low)
+        low, high = (low, b) if ratio(a) > ratio(b) else (a, high)
+    return minimise(cov, mean, floor=(low + high) / 2)
+
+
+def efficient_frontier(cov: np.ndarray, mean: np.ndarray, size: int) -> list[np.ndarray]:
+    least = mean @ minimise(cov, 0 * mean)
+    return [minimise(cov, mean, floor=f) for f in np.linspace(least, mean.max(), size)]
+
+
+def risk_budgeting(cov: np.ndarray, budget: np.ndarray | None = None, rounds: int = 10_000) -> np.ndarray:
+    """Weights whose shares of the variance are the budget (default equal), by cyclical coordinate descent."""
+    n = len(cov)
+    budget = np.full(n, 1 / n) if budget is None else budget / budget.sum()
+    w = 1 / np.sqrt(np.diag(cov))
+    for _ in range(rounds):
+        before = w.copy()
+        for i in range(n):
+            b = cov[i] @ w - cov[i, i] * w[i]
+            w[i] = (-b + np.sqrt(b * b + 4 * cov[i, i] * budget[i])) / (2 * cov[i, i])
+        if np.abs(w - before).max() < 1e-14 * w.max():
+            break
+    return w / w.sum()
+
+
+def maximum_diversification(cov: np.ndarray) -> np.ndarray:
+    return maximum_sharpe(cov, np.sqrt(np.diag(cov)))
+
+
+def linkage(distance: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """Average-linkage merges (left, right, height, size) of a distance matrix; ties to the smallest indices."""
+    d = {(i, j): distance[i, j] for i in range(len(distance)) for j in range(i)}
+    size = dict.fromkeys(range(len(distance)), 1)
+    out, new = [], len(distance)
+    while len(size) > 1:
+        a, b = min(d, key=lambda p: (d[p], p[1], p[0]))
+        out.append((min(a, b), max(a, b), d[a, b], size[a] + size[b]))
+        for c in size:
+            if c not in (a, b):
+                x, y = d[max(a, c), min(a, c)], d[max(b, c), min(b, c)]
+                d[new, c] = (size[a] * x + size[b] * y) / (size[a] + size[b])
+        total = size.pop(a) + size.pop(b)
+        d = {p: v for p, v in d.items() if a not in p and b not in p}
+        size[new] = total
+        new += 1
+    return out
+
+
+def leaf_order(merges: list[tuple[int, int, float, int]], n: int) -> list[int]:
+    parts = {i: [i] for i in range(n)}
+    for k, (a, b, _, _) in enumerate(merges):
+        parts[n + k] = parts[a] + parts[b]
+    return parts[n + len(merges) - 1] if merges else [0]
+
+
+def hierarchical_risk_parity(cov: np.ndarray) -> np.ndarray:
+    """Recursive bisection of the leaf order; each half gets weight against its inverse-variance portfolio's risk."""
+    sd = np.sqrt(np.diag(cov))
+    corr = cov / np.outer(sd, sd)
+    order = leaf_order(linkage(np.sqrt(np.clip((1 - corr) / 2, 0, 1))), len(cov))
+    w, todo = np.ones(len(cov)), [order]
+    while todo:
+        part = todo.pop()
+        if len(part) > 1:
+            halves = part[: len(part) // 2], part[len(part) // 2 :]
+            risk = []
+            for h in halves:
+                v = 1 / np.diag(cov)[h]
+                v = v / v.sum()
+                risk.append(v @ cov[np.ix_(h, h)] @ v)
+            share = 1 - risk[0] / (risk[0] + risk[1])
+            w[halves[0]] *= share
+            w[halves[1]] *= 1 - share
+            todo += halves
+    return w
+
+
+def shrunk_mean(mean: np.ndarray, cov: np.ndarray, n: int) -> np.ndarray:
+    """James-Stein shrinkage to the grand mean."""
+    target = np.full(len(mean), mean.mean())
+    values = np.linalg.eigvalsh(cov)
+    gap = mean - target
+    alpha = (len(mean) * values.mean() - 2 * values.max()) / (gap @ gap) / n
+    return (1 - alpha) * mean + alpha * target
+
+
+def black_litterman(cov: np.ndarray, prior: np.ndarray, views: np.ndarray, targets: np.ndarray, tau: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior (mean, covariance) under views P mean = q, whose uncertainty is the diagonal of tau P cov P'."""
+    omega = np.diag(np.diag(tau * views @ cov @ views.T))
+    gain = tau * cov @ views.T @ np.linalg.inv(tau * views @ cov @ views.T + omega)
+    return prior + gain @ (targets - views @ prior), cov + tau * cov - gain @ views @ (tau * cov)
+
+
+def nearest_positive(cov: np.ndarray, least: float = 1e-13) -> np.ndarray:
+    """Eigenvalues of the correlation clipped from below, variances kept."""
+    sd = np.sqrt(np.diag(cov))
+    values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
+    fixed = (vectors * np.maximum(values, least)) @ vectors.T
+    scale = np.sqrt(np.diag(fixed))
+    return fixed / np.outer(scale, scale) * np.outer(sd, sd)

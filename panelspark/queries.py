@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -255,7 +256,7 @@ POPULATION = RETURNS + """,
 wt AS (SELECT k, asset, v / sum(v) OVER (PARTITION BY k) AS weight FROM (SELECT k, asset, 1 + (CAST(asset AS INTEGER) * (k + 3) + 7 * k) % 11 AS v FROM (SELECT DISTINCT asset FROM ret), range(11) AS u(k))),
 pr0 AS (SELECT k, t, sum(weight * r) AS r, count(*) AS c FROM ret JOIN wt USING (asset) GROUP BY k, t),
 pop_r AS (SELECT CAST(k AS VARCHAR) AS asset, t, r FROM pr0 WHERE c = (SELECT count(DISTINCT asset) FROM ret))"""
-POPULATION_FRAME = POPULATION + FRAME[len(RETURNS):].replace("FROM ret", "FROM pop_r") + ",\npop AS (SELECT asset AS portfolio_id, avg(r) AS mean, stddev_samp(r) AS standard_deviation, " + _tail("r", "rn") + " AS cvar, -min(dd) AS max_drawdown FROM f GROUP BY asset)"
+POPULATION_FRAME = POPULATION + FRAME[len(RETURNS):].replace("FROM ret", "FROM pop_r") + f",\npop AS MATERIALIZED (SELECT asset AS portfolio_id, {q8('avg(r)')} AS mean, {q8('stddev_samp(r)')} AS standard_deviation, {q8(_tail('r', 'rn'))} AS cvar, {q8('-min(dd)')} AS max_drawdown FROM f GROUP BY asset)"
 
 
 def population_weights(series: DataFrame) -> DataFrame:
@@ -267,7 +268,8 @@ def population_weights(series: DataFrame) -> DataFrame:
 def population(spark: SparkSession, d: str) -> DataFrame:
     series = monthly_returns(spark, d)
     r = pf.portfolio_returns(series, population_weights(series)).where("r is not null")
-    return ms.measure(r, ["mean", "standard_deviation", "cvar", "max_drawdown"], ["portfolio_id"])
+    # Rounded, so that dominance does not hang on the order in which sums were made.
+    return rounded(ms.measure(r, ["mean", "standard_deviation", "cvar", "max_drawdown"], ["portfolio_id"]))
 
 
 _P = "portfolio_id, " + ", ".join(f"{q8(x)} AS {x}" for x in ("mean", "standard_deviation", "cvar", "max_drawdown"))
@@ -366,3 +368,80 @@ def forecasts(s: SparkSession, d: str) -> DataFrame:
 register("qlike", f"WITH {EVAL} SELECT split_id, {q8('avg(ln(v) + r * r / v)')} AS qlike FROM st GROUP BY split_id", lambda s, d: forecasts(s, d).groupBy("split_id").agg(F.avg(F.log("v") + F.col("r") * F.col("r") / F.col("v")).alias("qlike")))
 register("bias_stat", f"WITH {EVAL} SELECT {q8('stddev_samp(z)')} AS bias FROM st", lambda s, d: forecasts(s, d).agg(F.stddev_samp("z").alias("bias")))
 register("exceedance", f"WITH {EVAL} SELECT {q8('avg(CASE WHEN z * z > 3.841458820694124 THEN 1.0::DOUBLE ELSE 0 END)')} AS exceedance FROM st", lambda s, d: forecasts(s, d).agg(F.avg(F.when(F.col("z") * F.col("z") > 3.841458820694124, 1.0).otherwise(0.0)).alias("exceedance")))
+
+
+# Dependence, priors, allocation, streams ----------------------------------------------------------
+
+from .functions import copulas as cp  # noqa: E402
+from .plans import allocation as al  # noqa: E402
+from .streaming import exponential as ew  # noqa: E402
+
+PSEUDO = RETURNS + """,
+ps AS (SELECT asset, t, (rank() OVER (PARTITION BY asset ORDER BY r) + (count(*) OVER (PARTITION BY asset, r) - 1) / 2) / (count(*) OVER (PARTITION BY asset) + 1) AS u FROM ret),
+uv AS (SELECT a.t, a.u, b.u AS v FROM ps a JOIN ps b USING (t) WHERE a.asset = '0' AND b.asset = '1')"""
+
+
+def uv(s: SparkSession, d: str) -> DataFrame:
+    ps = cp.pseudo_observations(monthly_returns(s, d))
+    return ps.where("asset = '0'").select("t", "u").join(ps.where("asset = '1'").select("t", F.col("u").alias("v")), "t")
+
+
+register("pseudo_obs", f"WITH {PSEUDO} SELECT asset, {DAY}, {q8('u')} AS u FROM ps", lambda s, d: cp.pseudo_observations(monthly_returns(s, d)))
+_u, _v = F.col("u"), F.col("v")
+_COPULAS = {
+    "clayton": (cp.clayton_cdf(_u, _v, 2.0), "(u ** -2.0 + v ** -2.0 - 1) ** (-1 / 2.0::DOUBLE)"),
+    "gumbel": (cp.gumbel_cdf(_u, _v, 1.5), "exp(-(((-ln(u)) ** 1.5 + (-ln(v)) ** 1.5) ** (1 / 1.5::DOUBLE)))"),
+    "joe": (cp.joe_cdf(_u, _v, 2.5), "1 - ((1 - u) ** 2.5 + (1 - v) ** 2.5 - (1 - u) ** 2.5 * (1 - v) ** 2.5) ** (1 / 2.5::DOUBLE)"),
+    "independent": (cp.independent_cdf(_u, _v), "u * v"),
+    "clayton_rotated_180": (cp.rotated_cdf(cp.clayton_cdf, _u, _v, 180, 2.0), "u + v - 1 + ((1 - u) ** -2.0 + (1 - v) ** -2.0 - 1) ** (-1 / 2.0::DOUBLE)"),
+}
+for _name, (_expr, _sql) in _COPULAS.items():
+    register(f"copula_cdf_{_name}", f"WITH {PSEUDO} SELECT {DAY}, {q8(_sql)} AS c FROM uv", lambda s, d, e=_expr: uv(s, d).select("t", e.alias("c")))
+register("copula_h_clayton", f"WITH {PSEUDO} SELECT {DAY}, {q8('(1 + v ** 2.0 * (u ** -2.0 - 1)) ** (-1.5::DOUBLE)')} AS h FROM uv", lambda s, d: uv(s, d).select("t", cp.clayton_h(_u, _v, 2.0).alias("h")))
+register("copula_log_density_clayton", f"WITH {PSEUDO} SELECT {DAY}, {q8('ln(3.0::DOUBLE) - 3 * (ln(u) + ln(v)) - 2.5::DOUBLE * ln(u ** -2.0 + v ** -2.0 - 1)')} AS score FROM uv", lambda s, d: uv(s, d).select("t", cp.clayton_log_density(_u, _v, 2.0).alias("score")))
+_qs = [0.1, 0.25, 0.5, 0.75, 0.9]
+register("tail_concentration", f"WITH {PSEUDO}, q AS (SELECT unnest({_qs}::DOUBLE[]) AS q) SELECT q, {q8('coalesce(sum(CASE WHEN (q <= 0.5 AND u <= q AND v <= q) OR (q > 0.5 AND u >= q AND v >= q) THEN 1.0::DOUBLE ELSE 0 END) / nullif(sum(CASE WHEN (q <= 0.5 AND u <= q) OR (q > 0.5 AND u >= q) THEN 1.0::DOUBLE ELSE 0 END), 0), 0)')} AS concentration FROM uv, q GROUP BY q", lambda s, d: cp.empirical_tail_concentration(uv(s, d), _qs))
+register(
+    "mutual_info",
+    f"""WITH {PAIRS}, z AS (SELECT asset_i, asset_j, least(7, floor((x - min(x) OVER k) / ((max(x) OVER k - min(x) OVER k) / 8))) AS a, least(7, floor((y - min(y) OVER k) / ((max(y) OVER k - min(y) OVER k) / 8))) AS b FROM pr WHERE asset_i < asset_j WINDOW k AS (PARTITION BY asset_i, asset_j)),
+    c AS (SELECT asset_i, asset_j, a, b, count(*) AS c FROM z GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY asset_i, asset_j) AS p, sum(c) OVER (PARTITION BY asset_i, asset_j, a) / sum(c) OVER (PARTITION BY asset_i, asset_j) AS pa, sum(c) OVER (PARTITION BY asset_i, asset_j, b) / sum(c) OVER (PARTITION BY asset_i, asset_j) AS pb FROM c)
+    SELECT asset_i, asset_j, {q8('1 - sum(p * ln(p / (pa * pb))) / least(-sum(p * ln(pa)), -sum(p * ln(pb)))')} AS v FROM p GROUP BY 1, 2""",
+    lambda s, d: cp.mutual_information(mx.pairs(monthly_returns(s, d), "r").where("asset_i < asset_j"), 8),
+)
+EXPERTS = RETURNS + ", d AS (SELECT DISTINCT t FROM ret), ob AS (SELECT row_number() OVER (ORDER BY t) - 1 AS obs_idx FROM d), ex AS (SELECT obs_idx, 1.0::DOUBLE / count(*) OVER () AS p0, (obs_idx + 1) / sum(obs_idx + 1) OVER () AS p1 FROM ob)"
+
+
+def experts(s: SparkSession, d: str) -> DataFrame:
+    ob = pn.indexed(monthly_returns(s, d).select("t").distinct().withColumn("asset", F.lit("")))
+    flat = ob.select(F.lit("flat").alias("expert"), "obs_idx", (1.0 / F.count("*").over(Window.partitionBy())).alias("p"))
+    late = ob.select(F.lit("late").alias("expert"), "obs_idx", ((F.col("obs_idx") + 1) / F.sum(F.col("obs_idx") + 1).over(Window.partitionBy())).alias("p"))
+    return flat.union(late)
+
+
+register("opinion_pooling", f"WITH {EXPERTS} SELECT obs_idx, {q8('0.3::DOUBLE * p0 + 0.5::DOUBLE * p1 + (1 - 0.8::DOUBLE) / count(*) OVER ()')} AS p FROM ex", lambda s, d: cp.opinion_pool(experts(s, d), {"flat": 0.3, "late": 0.5}).withColumn("obs_idx", F.col("obs_idx").cast("long")))
+register("opinion_pooling_geometric", f"WITH {EXPERTS}, g AS (SELECT obs_idx, exp(0.3::DOUBLE * ln(p0) + 0.5::DOUBLE * ln(p1) + (1 - 0.8::DOUBLE) * ln(1.0::DOUBLE / count(*) OVER ())) AS x FROM ex) SELECT obs_idx, {q8('x / sum(x) OVER ()')} AS p FROM g", lambda s, d: cp.opinion_pool(experts(s, d), {"flat": 0.3, "late": 0.5}, linear=False).withColumn("obs_idx", F.col("obs_idx").cast("long")))
+register("ew_fold", ORACLE_SQL["ew_mu"].replace("AS mean FROM", f"AS mean, {q8(f'sum((1 - {_lam}) * pow({_lam}, k) * r * r) / (1 - pow({_lam}, count(*)))')} AS variance FROM"), lambda s, d: ew.fold(monthly_returns(s, d), 12))
+
+
+def _weights(solve) -> Query:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        assets, mean, cov = al.collected(monthly_returns(s, d))
+        return s.createDataFrame([(a, float(w)) for a, w in zip(assets, solve(mean, cov), strict=True)], "asset string, weight double")
+
+    return query
+
+
+register("min_variance_weights", None, _weights(lambda m, c: al.minimise(c, 0 * m)))
+register("max_utility_weights", None, _weights(lambda m, c: al.minimise(c, m, 5.0)))
+register("risk_parity_weights", None, _weights(lambda m, c: al.risk_budgeting(c)))
+register("hrp_weights", None, _weights(lambda m, c: al.hierarchical_risk_parity(c)))
+register("mu_shrunk_james_stein", None, _weights(lambda m, c: al.shrunk_mean(m, c, 82)))
+register("black_litterman", None, _weights(lambda m, c: al.black_litterman(c, m, np.eye(len(m))[:2] - np.eye(len(m))[2:4], np.array([0.01, 0.02]))[0]))
+
+
+def frontier(s: SparkSession, d: str) -> DataFrame:
+    assets, mean, cov = al.collected(monthly_returns(s, d))
+    return s.createDataFrame([(k, a, float(x)) for k, w in enumerate(al.efficient_frontier(cov, mean, 5)) for a, x in zip(assets, w, strict=True)], "point int, asset string, weight double")
+
+
+register("efficient_frontier", None, frontier)
