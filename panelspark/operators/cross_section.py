@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-AT = Window.partitionBy("t")
 #: Median absolute deviation to standard deviation of a normal variable.
 MAD_TO_SD = 1.4826022185056018
 
 
+def at_date() -> WindowSpec:
+    return Window.partitionBy("t")
+
+
 def _used() -> Column:
     """The estimation universe: a value and a positive weight."""
     return F.col("x").isNotNull() & (F.coalesce("w", F.lit(1.0)) > 0)
@@ -23,17 +26,17 @@ def _moments(x: Column, over) -> tuple[Column, Column, Column]:
 
 def zscore(data: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """(x - weighted mean) / equal-weighted deviation; 0 where there is none."""
-    mean, sd, _ = _moments(F.col("x"), AT)
+    mean, sd, _ = _moments(F.col("x"), at_date())
     return data.withColumn("z", F.when(F.col("x").isNotNull(), F.when(sd > tolerance, (F.col("x") - mean) / sd).otherwise(0.0)))
 
 
 def zscore_grouped(data: DataFrame, least: int = 8, tolerance: float = 1e-12) -> DataFrame:
     """As ``zscore`` within groups, those below ``least`` members or labelled -1 against the whole date, then scaled anew over the date."""
-    mean, sd, _ = _moments(F.col("x"), AT)
+    mean, sd, _ = _moments(F.col("x"), at_date())
     gmean, gsd, gcount = _moments(F.col("x"), Window.partitionBy("t", "grp"))
     s = data.withColumn("_own", (F.col("grp") >= 0) & (gcount >= least)).withColumn("_m", F.when(F.col("_own"), gmean).otherwise(mean)).withColumn("_s", F.when(F.col("_own"), gsd).otherwise(sd))
     s = s.withColumn("_z", F.when(F.col("x").isNotNull(), F.when(F.col("_s") > tolerance, (F.col("x") - F.col("_m")) / F.col("_s")).otherwise(0.0)))
-    mean, sd, _ = _moments(F.col("_z"), AT)
+    mean, sd, _ = _moments(F.col("_z"), at_date())
     return s.withColumn("z", F.when(F.col("_z").isNotNull(), F.when(sd > tolerance, (F.col("_z") - mean) / sd).otherwise(0.0))).drop("_own", "_m", "_s", "_z")
 
 
@@ -83,8 +86,8 @@ def tanh_shrink(data: DataFrame, knee: float = 3.0, tolerance: float = 1e-12) ->
 def weighted_correlation(data: DataFrame, y: str = "y", least: int = 3) -> DataFrame:
     """Weighted Pearson correlation of x and ``y`` per date over rows that have both; NULL below ``least`` rows."""
     s = data.where(F.col("x").isNotNull() & F.col(y).isNotNull() & (F.col("w") > 0))
-    total = F.sum("w").over(AT)
-    s = s.withColumn("_x", F.col("x") - F.sum(F.col("w") * F.col("x")).over(AT) / total).withColumn("_y", F.col(y) - F.sum(F.col("w") * F.col(y)).over(AT) / total)
+    total = F.sum("w").over(at_date())
+    s = s.withColumn("_x", F.col("x") - F.sum(F.col("w") * F.col("x")).over(at_date()) / total).withColumn("_y", F.col(y) - F.sum(F.col("w") * F.col(y)).over(at_date()) / total)
     part = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b))
     return s.groupBy("t").agg(F.when(F.count("*") >= least, F.try_divide(part("_x", "_y"), F.sqrt(part("_x", "_x") * part("_y", "_y")))).alias("corr"))
 
@@ -92,15 +95,15 @@ def weighted_correlation(data: DataFrame, y: str = "y", least: int = 3) -> DataF
 def rank_correlation(data: DataFrame, y: str = "y", least: int = 3) -> DataFrame:
     """Pearson correlation of ordinal ranks per date; ties in the order of assets."""
     s = data.where(F.col("x").isNotNull() & F.col(y).isNotNull())
-    s = s.withColumn("_x", F.row_number().over(AT.orderBy("x", "asset"))).withColumn("_y", F.row_number().over(AT.orderBy(y, "asset")))
+    s = s.withColumn("_x", F.row_number().over(at_date().orderBy("x", "asset"))).withColumn("_y", F.row_number().over(at_date().orderBy(y, "asset")))
     return s.groupBy("t").agg(F.when(F.count("*") >= least, F.corr("_x", "_y")).alias("corr"))
 
 
 def regression(data: DataFrame, y: str = "y") -> DataFrame:
     """Weighted least squares of ``y`` on x with intercept, per date: slope, intercept, weighted R squared; by sums alone."""
     s = data.where(F.col("x").isNotNull() & F.col(y).isNotNull() & (F.col("w") > 0))
-    total = F.sum("w").over(AT)
-    s = s.withColumn("_mx", F.sum(F.col("w") * F.col("x")).over(AT) / total).withColumn("_my", F.sum(F.col("w") * F.col(y)).over(AT) / total)
+    total = F.sum("w").over(at_date())
+    s = s.withColumn("_mx", F.sum(F.col("w") * F.col("x")).over(at_date()) / total).withColumn("_my", F.sum(F.col("w") * F.col(y)).over(at_date()) / total)
     dx, dy, w = F.col("x") - F.col("_mx"), F.col(y) - F.col("_my"), F.col("w")
     g = s.groupBy("t").agg(F.sum(w * dx * dx).alias("xx"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dy * dy).alias("yy"), F.first("_mx").alias("mx"), F.first("_my").alias("my"))
     slope = F.try_divide("xy", "xx")

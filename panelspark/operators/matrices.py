@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_ASSET = Window.partitionBy("asset")
+def by_asset() -> WindowSpec:
+    return Window.partitionBy("asset")
 
 
 def pairs(series: DataFrame, *columns: str) -> DataFrame:
@@ -54,7 +55,7 @@ def kendall_distance(series: DataFrame) -> DataFrame:
 
 def gerber(series: DataFrame, threshold: float = 0.5, psd: bool = True) -> DataFrame:
     """Co-movements beyond ``threshold`` deviations: concordant less discordant, over all but the doubly neutral, scaled to a covariance."""
-    sd = F.stddev_pop("r").over(BY_ASSET)
+    sd = F.stddev_pop("r").over(by_asset())
     s = series.withColumn("sd", sd).withColumn("up", (F.col("r") >= threshold * F.col("sd")).cast("int")).withColumn("down", (F.col("r") <= -threshold * F.col("sd")).cast("int"))
     same = F.col("up_i") * F.col("up_j") + F.col("down_i") * F.col("down_j")
     apart = F.col("up_i") * F.col("down_j") + F.col("down_i") * F.col("up_j")
@@ -90,7 +91,7 @@ def ew_variance(series: DataFrame, half_life: float) -> DataFrame:
 def ew_covariance(series: DataFrame, half_life: float) -> DataFrame:
     """Per pair over dates that have both, corrected by each asset's own number of observations."""
     lam = decay(half_life)
-    s = series.withColumn("n", F.count("*").over(BY_ASSET).cast("double"))
+    s = series.withColumn("n", F.count("*").over(by_asset()).cast("double"))
     p = pairs(s, "r", "n")
     p = p.withColumn("w", (1 - lam) * F.pow(F.lit(lam), _age(["asset_i", "asset_j"])))
     bias = F.sqrt((1 - F.pow(F.lit(lam), F.first("n_i"))) * (1 - F.pow(F.lit(lam), F.first("n_j"))))

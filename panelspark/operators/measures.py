@@ -16,7 +16,6 @@ BETA = 0.95
 YEAR = 252
 
 c = F.col
-n = F.count("r")
 
 
 def _below(power: int, over: Column) -> Column:
@@ -50,9 +49,9 @@ MEASURES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "mean_absolute_deviation": (("mean",), lambda: F.avg(F.abs(c("r") - c("mean")))),
     "first_lower_partial_moment": (("mean",), lambda: F.avg(_below(1, c("mean")))),
     "variance": ((), lambda: F.var_samp("r")),
-    "semi_variance": (("mean",), lambda: F.sum(_below(2, c("mean"))) / (n - 1)),
+    "semi_variance": (("mean",), lambda: F.sum(_below(2, c("mean"))) / (F.count("r") - 1)),
     "standard_deviation": ((), lambda: F.stddev_samp("r")),
-    "semi_deviation": (("mean",), lambda: F.sqrt(F.sum(_below(2, c("mean"))) / (n - 1))),
+    "semi_deviation": (("mean",), lambda: F.sqrt(F.sum(_below(2, c("mean"))) / (F.count("r") - 1))),
     "third_central_moment": (("mean",), lambda: _m(3)),
     "fourth_central_moment": (("mean",), lambda: _m(4)),
     "skew": ((), lambda: F.skewness("r")),

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("asset").orderBy("t")
+def by_time() -> WindowSpec:
+    return Window.partitionBy("asset").orderBy("t")
 
 
 def linear_returns(panel: DataFrame) -> DataFrame:
     """(t, asset, r): price over the price before, less 1; the first row of an asset goes, a zero price gives no return."""
-    r = F.try_divide("price", F.lag("price").over(BY_TIME)) - 1
+    r = F.try_divide("price", F.lag("price").over(by_time())) - 1
     return panel.select("t", "asset", r.alias("r")).where("r is not null")
 
 
@@ -33,7 +34,7 @@ def drop_sparse_rows(grid: DataFrame, threshold: float) -> DataFrame:
 
 
 def forward_fill(grid: DataFrame) -> DataFrame:
-    return grid.withColumn("price", F.last("price", ignorenulls=True).over(BY_TIME))
+    return grid.withColumn("price", F.last("price", ignorenulls=True).over(by_time()))
 
 
 def drop_inception(grid: DataFrame) -> DataFrame:

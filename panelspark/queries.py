@@ -174,7 +174,7 @@ PAIRED = SECTION + ", xy AS (SELECT *, lead(x) OVER (PARTITION BY asset ORDER BY
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:
-    return panels.cross_section(spark, d).withColumn("y", F.lead("x").over(pn.BY_TIME))
+    return panels.cross_section(spark, d).withColumn("y", F.lead("x").over(pn.by_time()))
 
 
 register("cs_zscore", f"WITH {SECTION} SELECT {DAY}, asset, {q8('coalesce((x - (sum(x * w) OVER a) / (sum(w) OVER a)) / (stddev_samp(x) OVER a), 0)')} AS z FROM x WINDOW a AS (PARTITION BY x.t)", lambda s, d: cs.zscore(panels.cross_section(s, d)).select("t", "asset", "z"))
@@ -387,18 +387,23 @@ def uv(s: SparkSession, d: str) -> DataFrame:
 
 
 register("pseudo_obs", f"WITH {PSEUDO} SELECT asset, {DAY}, {q8('u')} AS u FROM ps", lambda s, d: cp.pseudo_observations(monthly_returns(s, d)))
-_u, _v = F.col("u"), F.col("v")
+
+def both(copula, *theta) -> Callable[[], Column]:
+    """The copula of columns u and v, made when a session is there."""
+    return lambda: copula(F.col("u"), F.col("v"), *theta)
+
+
 _COPULAS = {
-    "clayton": (cp.clayton_cdf(_u, _v, 2.0), "(u ** -2.0 + v ** -2.0 - 1) ** (-1 / 2.0::DOUBLE)"),
-    "gumbel": (cp.gumbel_cdf(_u, _v, 1.5), "exp(-(((-ln(u)) ** 1.5 + (-ln(v)) ** 1.5) ** (1 / 1.5::DOUBLE)))"),
-    "joe": (cp.joe_cdf(_u, _v, 2.5), "1 - ((1 - u) ** 2.5 + (1 - v) ** 2.5 - (1 - u) ** 2.5 * (1 - v) ** 2.5) ** (1 / 2.5::DOUBLE)"),
-    "independent": (cp.independent_cdf(_u, _v), "u * v"),
-    "clayton_rotated_180": (cp.rotated_cdf(cp.clayton_cdf, _u, _v, 180, 2.0), "u + v - 1 + ((1 - u) ** -2.0 + (1 - v) ** -2.0 - 1) ** (-1 / 2.0::DOUBLE)"),
+    "clayton": (both(cp.clayton_cdf, 2.0), "(u ** -2.0 + v ** -2.0 - 1) ** (-1 / 2.0::DOUBLE)"),
+    "gumbel": (both(cp.gumbel_cdf, 1.5), "exp(-(((-ln(u)) ** 1.5 + (-ln(v)) ** 1.5) ** (1 / 1.5::DOUBLE)))"),
+    "joe": (both(cp.joe_cdf, 2.5), "1 - ((1 - u) ** 2.5 + (1 - v) ** 2.5 - (1 - u) ** 2.5 * (1 - v) ** 2.5) ** (1 / 2.5::DOUBLE)"),
+    "independent": (both(cp.independent_cdf), "u * v"),
+    "clayton_rotated_180": (both(lambda u, v: cp.rotated_cdf(cp.clayton_cdf, u, v, 180, 2.0)), "u + v - 1 + ((1 - u) ** -2.0 + (1 - v) ** -2.0 - 1) ** (-1 / 2.0::DOUBLE)"),
 }
 for _name, (_expr, _sql) in _COPULAS.items():
-    register(f"copula_cdf_{_name}", f"WITH {PSEUDO} SELECT {DAY}, {q8(_sql)} AS c FROM uv", lambda s, d, e=_expr: uv(s, d).select("t", e.alias("c")))
-register("copula_h_clayton", f"WITH {PSEUDO} SELECT {DAY}, {q8('(1 + v ** 2.0 * (u ** -2.0 - 1)) ** (-1.5::DOUBLE)')} AS h FROM uv", lambda s, d: uv(s, d).select("t", cp.clayton_h(_u, _v, 2.0).alias("h")))
-register("copula_log_density_clayton", f"WITH {PSEUDO} SELECT {DAY}, {q8('ln(3.0::DOUBLE) - 3 * (ln(u) + ln(v)) - 2.5::DOUBLE * ln(u ** -2.0 + v ** -2.0 - 1)')} AS score FROM uv", lambda s, d: uv(s, d).select("t", cp.clayton_log_density(_u, _v, 2.0).alias("score")))
+    register(f"copula_cdf_{_name}", f"WITH {PSEUDO} SELECT {DAY}, {q8(_sql)} AS c FROM uv", lambda s, d, e=_expr: uv(s, d).select("t", e().alias("c")))
+register("copula_h_clayton", f"WITH {PSEUDO} SELECT {DAY}, {q8('(1 + v ** 2.0 * (u ** -2.0 - 1)) ** (-1.5::DOUBLE)')} AS h FROM uv", lambda s, d: uv(s, d).select("t", both(cp.clayton_h, 2.0)().alias("h")))
+register("copula_log_density_clayton", f"WITH {PSEUDO} SELECT {DAY}, {q8('ln(3.0::DOUBLE) - 3 * (ln(u) + ln(v)) - 2.5::DOUBLE * ln(u ** -2.0 + v ** -2.0 - 1)')} AS score FROM uv", lambda s, d: uv(s, d).select("t", both(cp.clayton_log_density, 2.0)().alias("score")))
 _qs = [0.1, 0.25, 0.5, 0.75, 0.9]
 register("tail_concentration", f"WITH {PSEUDO}, q AS (SELECT unnest({_qs}::DOUBLE[]) AS q) SELECT q, {q8('coalesce(sum(CASE WHEN (q <= 0.5 AND u <= q AND v <= q) OR (q > 0.5 AND u >= q AND v >= q) THEN 1.0::DOUBLE ELSE 0 END) / nullif(sum(CASE WHEN (q <= 0.5 AND u <= q) OR (q > 0.5 AND u >= q) THEN 1.0::DOUBLE ELSE 0 END), 0), 0)')} AS concentration FROM uv, q GROUP BY q", lambda s, d: cp.empirical_tail_concentration(uv(s, d), _qs))
 register(
