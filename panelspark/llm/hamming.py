@@ -42,30 +42,34 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     codes = codes.where("id is not null and code is not null").select("id", "code")
     index = cut(codes.select("id", "code", F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), _segment(F.col("code"), i).alias("key")) for i in range(SEGMENTS)))).alias("s")).select("id", "code", "s.*"), "index")
     todo = cut(queries.where("id is not null and code is not null").select(F.col("id").alias("q"), F.col("code").alias("qc")).distinct().withColumn("bound", F.lit(BITS)), "queries")
+    total = codes.count()
     best = None
     done = []
-    for step in range(SEGMENTS * (WIDTH + 1)):
-        r, i = divmod(step, SEGMENTS)
+    # Small radii find little, so all segments go at once; from there on one at a time, as each costs more.
+    turns = [(r, list(range(SEGMENTS))) for r in range(3)] + [(r, [i]) for r in range(3, WIDTH + 1) for i in range(SEGMENTS)]
+    for r, segments in turns:
         masks = F.expr(f"filter(sequence(0L, {(1 << WIDTH) - 1}L), m -> bit_count(m) = {r})")
-        probes = todo.select("q", "qc", "bound", F.explode(masks).alias("mask")).select("q", "qc", "bound", F.lit(i).alias("seg"), _segment(F.col("qc"), i).bitwiseXOR(F.col("mask")).alias("key"))
+        keys = F.array(*(F.struct(F.lit(i).alias("seg"), _segment(F.col("qc"), i).alias("own")) for i in segments))
+        probes = todo.withColumn("s", F.explode(keys)).withColumn("mask", F.explode(masks))
+        probes = probes.select("q", "qc", "bound", "s.seg", F.col("s.own").bitwiseXOR(F.col("mask")).alias("key"))
         # A pair is met in the first segment in order of radius, then place, so that it counts once.
         nearer = F.lit(False)
         for j in range(SEGMENTS):
-            if j != i:
-                d = _apart(_segment(F.col("code"), j), _segment(F.col("qc"), j))
-                nearer = nearer | ((d <= r) if j < i else (d < r))
+            d = _apart(_segment(F.col("code"), j), _segment(F.col("qc"), j))
+            nearer = nearer | ((probes["seg"] != j) & ((d < r) | ((d == r) & (probes["seg"] > j))))
         at = (probes["seg"] == index["seg"]) & (probes["key"] == index["key"])
         found = probes.join(index, at & (_apart(F.col("code"), F.col("qc")) <= F.col("bound")) & ~nearer).select("q", "qc", "id", _apart(F.col("code"), F.col("qc")).alias("distance"))
         every = found if best is None else best.unionByName(found)
         rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
         new = cut(every.withColumn("rank", rank).where(F.col("rank") <= k), "best")
-        covered = r * SEGMENTS + i
-        kth = new.groupBy("q").agg(F.when(F.count("*") >= k, F.max("distance")).alias("kth"))
-        state = cut(todo.select("q", "qc").join(kth, "q", "left").select("q", "qc", F.coalesce("kth", F.lit(BITS)).alias("bound"), (F.coalesce("kth", F.lit(BITS + 1)) <= covered).alias("over")), "queries")
+        covered = r * SEGMENTS + segments[-1]
+        kth = new.groupBy("q").agg(F.when(F.count("*") >= k, F.max("distance")).alias("kth"), (F.count("*") == total).alias("all"))
+        over = F.coalesce((F.col("kth") <= covered) | F.col("all"), F.lit(False))
+        state = cut(todo.select("q", "qc").join(kth, "q", "left").select("q", "qc", F.coalesce("kth", F.lit(BITS)).alias("bound"), over.alias("over")), "queries")
         left = state.where("not over").count()
         ended = new.join(state.where("over"), "q", "left_semi")
         done.append(ended)
-        if not left or step == SEGMENTS * (WIDTH + 1) - 1:
+        if not left or (r, segments) == turns[-1]:
             if left:
                 done.append(new.join(state.where("not over"), "q", "left_semi"))
             break
