@@ -44,3 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def n_words(text: Column) -> Column:
     """The number of words of a text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Bits of the filter below, as a power of two: a table of at most 2**17 rows.
+FILTER_BITS = 23
+
+
+def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``df.join(ids, column, "left_semi")`` whose shuffle carries few other rows of ``df``.
+
+    A bitmap of hashed ids is broadcast first. It has 2**FILTER_BITS bits whatever the input's size; where
+    it fills up it only lets more rows through to the join, which decides.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    bits = ids.select(place.alias("_place")).select(F.shiftright("_place", 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits"))
+    maybe = df.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return maybe.drop("_place", "_word", "_bits").join(ids, column, "left_semi")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_cut
 
+ROWS_IN_FILE = 500_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of ``edges`` (u, v: long); component is the smallest id reachable.
@@ -19,13 +21,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
     both = cut(pairs.union(pairs.select("v", "u")).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
+    # Tables in files of a useful size, so that the planner sees how small they are and need not shuffle small ones.
+    parts = both.count() // ROWS_IN_FILE + 1
+    packed = cut(both.coalesce(parts), "edges")
+    drop_cut(both)
+    both = packed
+    labels = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("label")).coalesce(parts), "labels")
     while True:
         near = both.join(labels, both.v == labels.id).groupBy("u").agg(F.min("label").alias("near"))
         own = labels.join(near, labels.id == near.u).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("id").alias("at"), F.col("label").alias("up"))
         new = own.join(up, own.label == up["at"], "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
-        new = cut(new, "labels")
+        new = cut(new.coalesce(parts), "labels")
         moved = new.where("label <> old").limit(1).count()
         drop_cut(labels)
         labels = new.select("id", "label")

@@ -8,15 +8,17 @@ copies is expanded into pairs:
 1. One pass over the texts writes, per document, the set's size, a 128-bit signature of the set, its
    prefix (the shingles of smallest hash, of which two linked sets share at least one) and a bitmap
    with a bit for each shingle's hash. Equal signatures are one class from here on.
-2. Classes that share their smallest or their largest shingle hash meet in tiles of bounded size, with
-   their whole texts. A tile compares bitmaps first: the bits in which two bitmaps differ bound the
-   symmetric difference from below and so the overlap from above; pairs that pass are decided by
-   intersecting the sorted arrays, and pairs already connected are skipped. This connects nearly all
-   of each group of copies by a number of links in proportion to its members.
-3. Prefix entries (shingle, size band) whose tile holds more than one component meet with their
-   bitmaps; a tile larger than ``block`` is dealt out as pairs of blocks. Only pairs that lie in
-   different components, satisfy the size bound and pass the bitmap bound go on to the exact
-   intersection. That makes the result exact, whatever step 2 has missed.
+2. Classes with the same smallest shingle hash compare bitmaps: the bits in which two bitmaps differ
+   bound the symmetric difference from below and so the overlap from above. Those that may link meet
+   once, with their whole texts, in tiles of bounded size, where sorted arrays are intersected and
+   pairs already connected are skipped. This connects nearly all of each group of near copies by
+   links in proportion to its members.
+3. Prefix shingles that more than one component holds in neighbouring size bands form tiles, which
+   read bitmaps; a tile larger than ``BLOCK`` is dealt out as pairs of blocks. A tile returns a spanning
+   forest of the pairs that lie in different components, satisfy the size bound and pass the bitmap
+   bound. Every link not yet made lies within a tree of these forests together. The texts of each tree
+   meet in pairs of blocks of bounded size, where sorted arrays decide. That makes the result exact,
+   whatever step 2 has left apart.
 """
 
 from __future__ import annotations
@@ -29,16 +31,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, only_ids
 from .graph import components
 from .shingles import mix, shingle_set
 
-#: 64-bit words of a bitmap.
-BITMAP_WORDS = 16
-#: Most texts in a tile of step 2, and most rows in a block of step 3.
+#: Bits of a small set's bitmap; larger sets have the power of two at or above their size, as a fuller bitmap tells nothing.
+LEAST_BITS = 256
+#: Most texts in a tile of step 2, most rows in a block.
 TILE, BLOCK = 400, 4096
 #: Tiles are read in lots of about so many rows, as a Python call for each small tile would cost more than its work.
-TEXTS_IN_LOT, ROWS_IN_LOT = 200, 8192
+TEXTS_IN_LOT, ROWS_IN_LOT, ENTRIES_IN_LOT = 200, 8192, 50_000
+#: Size bands that share a lot's key.
+BANDS = 8
+KEY = np.uint64(0xD6E8FEB86659FD93)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -53,11 +58,18 @@ def signature(a: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(a: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, dtype=np.uint8)
-    bits[(a % np.uint64(BITMAP_WORDS * 64)).astype(np.int64)] = 1
+    size = max(LEAST_BITS, 1 << (len(a) - 1).bit_length()) if len(a) else LEAST_BITS
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(a & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def bitmap_rows(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """One row per bitmap, folded to the shortest: a bit then stands for more hashes, so the bounds still hold."""
+    size = min(map(len, bitmaps))
+    return np.stack([b if len(b) == size else np.bitwise_or.reduce(b.reshape(-1, size), axis=0) for b in bitmaps])
+
+
 def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Largest symmetric difference with which sets of n and m members still link; negative if none."""
     total = n + m
@@ -80,27 +92,15 @@ def _digest(percent: int, width: int):
                 a = shingle_set(text if isinstance(text, str) else None, width)
                 n = len(a)
                 s = signature(a) if n else (0, 0)
-                ends = a[[0, -1]].view(np.int64).tolist() if n else (None, None)
-                keep = a[: prefix_length(n, percent)].view(np.int64) if n else a.view(np.int64)
-                rows.append((i, n, *s, *ends, keep, bitmap(a).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "s0", "s1", "lo", "hi", "prefix", "bits"]).astype({"doc_id": "Int64", "lo": "Int64", "hi": "Int64"})
+                keep = a[: prefix_length(n, percent)] if n else a
+                rows.append((i, n, *s, int(a[0].view(np.int64)) if n else 0, keep.tobytes(), bitmap(a).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "s0", "s1", "lo", "prefix", "bits"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def tile_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the members of a tile as all its links would."""
-    n = np.array([len(a) for a in sets])
-    bits = np.stack([bitmap(a) for a in sets])
-    comp = np.arange(len(ids))
-    out = []
-    for i in range(1, len(ids)):
-        apart = np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1)
-        for j in np.flatnonzero((apart <= most_apart(n[:i], n[i], percent)) & (comp[:i] != comp[i]))[::-1].tolist():
-            if comp[j] != comp[i] and linked(sets[i], sets[j], percent):
-                out.append((ids[i], ids[j]))
-                comp[comp == comp[j]] = comp[i]
-    return out
+def _bitmaps(bits: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype=np.uint64) for b in bits]
 
 
 def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -108,45 +108,160 @@ def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
 
 
+def likely_trees(n: np.ndarray, bits: list[np.ndarray], percent: int, may) -> np.ndarray:
+    """For each of some sets, sorted by size, the first one that bitmaps connect it to; ``may(i)`` selects earlier partners of i."""
+    tree, rows = np.arange(len(n)), bitmap_rows(bits)
+    for i in range(1, len(n)):
+        low = np.searchsorted(n[:i], -(-percent * n[i] // 100))
+        near = np.flatnonzero(may(i, low)) + low
+        if len(near):
+            near = near[np.bitwise_count(rows[near] ^ rows[i]).sum(axis=1) <= most_apart(n[near], n[i], percent)]
+        if len(near):
+            joined = np.unique(tree[near])
+            tree[i] = joined[0]
+            if len(joined) > 1:
+                tree[:i][np.isin(tree[:i], joined)] = joined[0]
+    return tree
+
+
+def _likely(percent: int):
+    """Within each tile, documents that bitmaps connect, with the first of them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tile", "n", "doc_id"], kind="stable")
+        ids, n, bits = pdf["doc_id"].to_numpy(), pdf["n"].to_numpy(), _bitmaps(pdf["bits"])
+        root = np.arange(len(ids))
+        for a, b in _runs(pdf["tile"].to_numpy() ^ np.array([len(x) for x in bits], dtype=np.int64)):
+            if b - a > 1:
+                root[a:b] = a + likely_trees(n[a:b], bits[a:b], percent, lambda i, low: np.ones(i - low, dtype=bool))
+        many = np.bincount(root, minlength=len(ids))[root] > 1
+        return pd.DataFrame({"doc_id": ids[many], "root": ids[root[many]]})
+
+    return run
+
+
+def tile_links(ids: list[int], sets: list[np.ndarray], percent: int, comp: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect the members of a tile as all its links would.
+
+    ``comp`` names what is connected already; with ``side``, the block of each member, only pairs across blocks count.
+    """
+    n = np.array([len(a) for a in sets])
+    order = np.argsort(n, kind="stable")
+    n, bits = n[order], bitmap_rows([bitmap(sets[i]) for i in order])
+    comp = np.arange(len(ids)) if comp is None else comp[order].copy()
+    side = np.full(len(ids), -1) if side is None else side[order]
+    merged: set[int] = set()
+    for i in range(1, len(ids)):
+        low = np.searchsorted(n[:i], -(-percent * n[i] // 100))
+        near = np.flatnonzero((comp[low:i] != comp[i]) & ((side[low:i] != side[i]) | (side[i] < 0))) + low
+        near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1) <= most_apart(n[near], n[i], percent)] if len(near) else near
+        for j in near[::-1].tolist():
+            if comp[j] != comp[i] and linked(sets[order[i]], sets[order[j]], percent):
+                merged.add(int(comp[j]))
+                merged.add(int(comp[i]))
+                comp[comp == comp[j]] = comp[i]
+    # Each group as a star around its smallest id, so that chains of links cost no rounds later.
+    out = []
+    for c in np.unique(comp[np.isin(comp, list(merged))]) if merged else ():
+        members = sorted(ids[k] for k in order[comp == c])
+        out += [(members[0], m) for m in members[1:]]
+    return out
+
+
 def _tiles(percent: int, width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["tile", "doc_id"]).sort_values(["tile", "doc_id"])
         ids, sets = pdf["doc_id"].tolist(), [shingle_set(t, width) for t in pdf["text"].tolist()]
-        out = [x for i, j in _runs(pdf["tile"].to_numpy()) if j - i > 1 for x in tile_links(ids[i:j], sets[i:j], percent)]
+        comp, side = pdf["comp"].to_numpy(), pdf["side"].to_numpy()
+        out = [x for i, j in _runs(pdf["tile"].to_numpy()) if j - i > 1 for x in tile_links(ids[i:j], sets[i:j], percent, comp[i:j], side[i:j])]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return run
 
 
-def block_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs within a tile that lie in different components and that sizes and bitmaps leave possible.
+def _forests(percent: int):
+    """Spanning forests of the pairs within each tile that lie in different components and that sizes and bitmaps leave possible.
 
     A pair meets in the band of its smaller set and in one pair of blocks (``side``: its block, -1 where a
     block meets itself).
     """
-    pdf = pdf.sort_values(["tile", "n", "doc_id"], kind="stable")
-    ids, comp, n, side, home = (pdf[c].to_numpy() for c in ("doc_id", "comp", "n", "side", "home"))
-    bits = np.frombuffer(b"".join(pdf["bits"].tolist()), dtype=np.uint64).reshape(len(pdf), -1)
-    us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-    for a, b in _runs(pdf["tile"].to_numpy()):
-        if comp[a:b].min() == comp[a:b].max():
-            continue
-        last = a + np.searchsorted(n[a:b], n[a:b] * 100 // percent, side="right")
-        for i in np.flatnonzero(home[a:b]) + a:
-            j = slice(i + 1, last[i - a])
-            j = np.flatnonzero((comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] < 0))) + i + 1
-            if len(j):
-                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= most_apart(n[j], n[i], percent)]
-                us.append(np.full(len(j), ids[i]))
-                vs.append(ids[j])
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
-
-
-def _arrays(width: int):
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tile", "n", "doc_id"], kind="stable")
+        ids, comp, n, side, home = (pdf[c].to_numpy() for c in ("doc_id", "comp", "n", "side", "home"))
+        bits, out = _bitmaps(pdf["bits"]), []
+        for a, b in _runs(pdf["tile"].to_numpy()):
+            c, s, h = comp[a:b], side[a:b], home[a:b]
+            if (c != c[0]).any():
+                tree = likely_trees(n[a:b], bits[a:b], percent, lambda i, low: (c[low:i] != c[i]) & h[low:i] & ((s[low:i] != s[i]) | (s[i] < 0)))  # noqa: B023
+                at = np.flatnonzero(tree != np.arange(b - a))
+                out.append(np.stack([ids[a + at], ids[a + tree[at]]], axis=1))
+        both = np.concatenate([np.empty((0, 2), dtype=np.int64), *out])
+        return pd.DataFrame(both, columns=["u", "v"]).drop_duplicates()
+
+    return run
+
+
+def _entries(percent: int, lots: int):
+    """Prefix entries dealt by shingle and group of size bands, as arrays for each lot."""
+    step = math.log(100 / percent)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "a": [shingle_set(t, width).view(np.int64) for t in pdf["text"]]})
+            if not len(pdf):
+                continue
+            n = pdf["n"].to_numpy(np.int64)
+            band = np.floor(np.log(n) / step + 1e-9).astype(np.int64)
+            count = np.array([len(x) // 8 for x in pdf["prefix"]])
+            row = np.repeat(np.arange(len(pdf)), count)
+            key = np.frombuffer(b"".join(pdf["prefix"].tolist()), dtype=np.uint64)
+            group = band // BANDS
+            lower = np.flatnonzero((((band - 1) // BANDS) != group)[row])
+            row, key, group = np.r_[row, row[lower]], np.r_[key, key[lower]], np.r_[group[row], group[row[lower]] - 1]
+            with np.errstate(over="ignore"):
+                place = mix(key ^ ((group + 2).astype(np.uint64) * KEY))
+            lot, short = (place % np.uint64(lots)).astype(np.int64), (place >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((row, lot))
+            ids, comp = pdf["doc_id"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)
+            out = []
+            for a, b in _runs(lot[order]):
+                o = order[a:b]
+                r = row[o]
+                out.append((int(lot[o[0]]), short[o].tobytes(), ids[r].tobytes(), (ids - comp)[r].tobytes(), n[r].tobytes(), group[o].astype(np.int16).tobytes()))
+            yield pd.DataFrame(out, columns=["lot", "key", "ids", "comp", "n", "group"])
+
+    return run
+
+
+def _survivors(percent: int):
+    """Entries of tiles (shingle, size band) that may have a partner of another component, with the tile's count of them."""
+    step = math.log(100 / percent)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        read = lambda c, kind: np.frombuffer(b"".join(pdf[c].tolist()), dtype=kind)
+        key, ids, n, group = read("key", np.uint32), read("ids", np.int64), read("n", np.int64), read("group", np.int16)
+        comp = ids - read("comp", np.int64)
+        band = np.floor(np.log(n) / step + 1e-9).astype(np.int64)
+        homes, guests = np.flatnonzero(band // BANDS == group), np.flatnonzero((band - 1) // BANDS == group)
+        at = np.r_[homes, guests]
+        home = np.arange(len(at)) < len(homes)
+        with np.errstate(over="ignore"):
+            tile = mix((key[at].astype(np.uint64) << np.uint64(16)) ^ ((band[at] - ~home) * 2 + 1).astype(np.uint64) * KEY).view(np.int64)
+        order = np.lexsort((ids[at], n[at], tile))
+        at, home, tile = at[order], home[order], tile[order]
+        ids, comp, n = ids[at], comp[at], n[at]
+        last = len(at)
+        same = np.r_[(tile[1:] == tile[:-1]) & (comp[1:] == comp[:-1]), False] if last else np.empty(0, dtype=bool)
+        edges = np.flatnonzero(~same)
+        run_of = np.searchsorted(edges, np.arange(last))
+        after = edges[run_of] + 1
+        before = np.r_[-1, edges[:-1]][run_of] if last else after
+        a, b = np.minimum(after, last - 1), np.maximum(before, 0)
+        keep = (after < last) & (tile[a] == tile) & (n[a] * percent <= 100 * n) & home
+        keep |= (before >= 0) & (tile[b] == tile) & (n * percent <= 100 * n[b])
+        tile = tile[keep]
+        _, index, count = np.unique(tile, return_inverse=True, return_counts=True)
+        return pd.DataFrame({"tile": tile, "doc_id": ids[keep], "comp": comp[keep], "n": n[keep], "home": home[keep], "c": count[index]})
 
     return run
 
@@ -159,44 +274,41 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     Other columns of ``docs`` are ignored. An empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest = cut(docs.mapInPandas(_digest(percent, width), "doc_id long, n long, s0 long, s1 long, lo long, hi long, prefix array<long>, bits binary"), "digest")
-    reps = digest.where("n > 0 and doc_id is not null").groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("rep"))
-    reps = cut(reps, "reps")
-    own = digest.join(reps.select(F.col("rep").alias("doc_id"), F.col("s0").alias("r0"), F.col("s1").alias("r1")), "doc_id", "inner").where("s0 = r0 and s1 = r1").drop("r0", "r1").dropDuplicates(["doc_id"])
-    ends = own.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("lo").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("hi").alias("key")))).alias("e")).select("doc_id", "e.*")
-    ends = cut(ends, "ends")
-    shared = ends.groupBy("kind", "key").agg(F.count("*").alias("c")).where("c > 1")
-    spread = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / TILE).cast("long"))
-    meet = ends.join(shared, ["kind", "key"]).select("doc_id", F.xxhash64("kind", "key", spread).alias("tile"))
-    meet = meet.withColumn("lot", F.pmod("tile", F.lit(digest.count() // TEXTS_IN_LOT + 1)))
-    links = docs.join(meet, "doc_id").groupBy("lot").applyInPandas(_tiles(percent, width), "u long, v long")
-    links = cut(links, "links")
+    digest = cut(docs.mapInPandas(_digest(percent, width), "doc_id long, n long, s0 long, s1 long, lo long, prefix binary, bits binary"), "digest")
+    total = digest.count()
+    reps = cut(digest.where("n > 0 and doc_id is not null").groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("rep"), F.min("lo").alias("lo")), "reps")
+    bits = digest.select("doc_id", "bits").dropDuplicates(["doc_id"])
+    lot = lambda rows, each: F.pmod("tile", F.lit(rows // each + 1))
+
+    shared = reps.groupBy("lo").agg(F.count("*").alias("c")).where("c > 1")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK).cast("long"))
+    meet = reps.join(shared, "lo").select(F.col("rep").alias("doc_id"), "n", F.xxhash64("lo", part).alias("tile"))
+    likely = meet.join(bits, "doc_id").withColumn("lot", lot(total, ROWS_IN_LOT)).groupBy("lot").applyInPandas(_likely(percent), "doc_id long, root long")
+    likely = cut(likely, "likely")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / TILE).cast("long"))
+    meet = likely.join(likely.groupBy("root").agg(F.count("*").alias("c")), "root").select("doc_id", F.xxhash64("root", part).alias("tile"), F.col("doc_id").alias("comp"), F.lit(-1).alias("side"))
+    texts = only_ids(docs, likely.select("doc_id"), "doc_id").join(meet, "doc_id").withColumn("lot", lot(total, TEXTS_IN_LOT))
+    links = cut(texts.groupBy("lot").applyInPandas(_tiles(percent, width), "u long, v long"), "links")
     first = components(links)
 
-    entries = own.join(first, own.doc_id == first.id, "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), F.explode("prefix").alias("key"))
-    step = math.log(100 / percent)
-    band = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
-    entries = cut(entries, "entries")
-    mixed = entries.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
-    entries = entries.join(mixed, "key").withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
-    tiles = cut(entries.withColumn("home", F.col("own") == F.col("band")), "tiles")
-    # A tile needs two components and a set whose own band it is.
-    live = tiles.groupBy("key", "band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("home").alias("any"), F.count("*").alias("c")).where("least < most and any")
+    nodes = reps.join(first, reps.rep == first.id, "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("comp"))
+    lots = (digest.agg(F.sum(F.length("prefix"))).first()[0] or 0) // (8 * ENTRIES_IN_LOT) + 1
+    dealt = digest.select("doc_id", "n", "prefix").join(nodes, "doc_id").mapInPandas(_entries(percent, lots), "lot long, key binary, ids binary, comp binary, n binary, group binary")
+    tiles = cut(dealt.groupBy("lot").applyInPandas(_survivors(percent), "tile long, doc_id long, comp long, n long, home boolean, c long"), "tiles")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    at = F.pmod(F.xxhash64("doc_id"), blocks.cast("long")).cast("int")
-    dealt = tiles.join(live.select("key", "band", "c"), ["key", "band"]).withColumn("blocks", blocks).withColumn("at", at)
-    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("doc_id", "n", "comp", "home", F.xxhash64("key", "band", F.least("at", "to"), F.greatest("at", "to")).alias("tile"), F.when(F.col("at") == F.col("to"), F.lit(-1)).otherwise(F.col("at")).alias("side"))
-    dealt = dealt.join(own.select("doc_id", "bits"), "doc_id").withColumn("lot", F.pmod("tile", F.lit(tiles.count() // ROWS_IN_LOT + 1)))
-    pairs = dealt.groupBy("lot").applyInPandas(lambda pdf: block_pairs(pdf, percent), "u long, v long").distinct()
-    pairs = cut(pairs, "pairs")
-    named = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    arrays = cut(docs.join(named, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(_arrays(width), "doc_id long, a array<long>"), "arrays")
-    both = pairs.join(arrays.select(F.col("doc_id").alias("u"), F.col("a").alias("x")), "u").join(arrays.select(F.col("doc_id").alias("v"), F.col("a").alias("y")), "v")
-    inner = F.size(F.array_intersect("x", "y"))
-    more = both.where(100 * inner >= percent * (F.size("x") + F.size("y") - inner)).select("u", "v")
+    at = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
+    dealt = tiles.withColumn("blocks", blocks).withColumn("at", at).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("doc_id", "n", "comp", "home", F.xxhash64("tile", F.least("at", "to"), F.greatest("at", "to")).alias("tile"), F.when(F.col("at") == F.col("to"), F.lit(-1)).otherwise(F.col("at")).alias("side"))
+    dealt = dealt.join(bits, "doc_id").withColumn("lot", lot(tiles.count(), ROWS_IN_LOT))
+    trees = components(dealt.groupBy("lot").applyInPandas(_forests(percent), "u long, v long"))
+    sizes = trees.groupBy(F.col("component").alias("tree")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    meet = trees.select(F.col("id").alias("doc_id"), F.col("component").alias("tree")).join(sizes, "tree").join(nodes, "doc_id")
+    meet = meet.withColumn("at", at).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = meet.select("doc_id", "comp", F.xxhash64("tree", F.least("at", "to"), F.greatest("at", "to")).alias("tile"), F.when(F.col("at") == F.col("to"), F.lit(-1)).otherwise(F.col("at")).alias("side"))
+    texts = only_ids(docs, trees.select(F.col("id").alias("doc_id")), "doc_id").join(meet, "doc_id").withColumn("lot", lot(total, TEXTS_IN_LOT))
+    more = texts.groupBy("lot").applyInPandas(_tiles(percent, width), "u long, v long")
     final = components(links.union(more))
-    for done in (ends, entries, tiles, arrays):
+    for done in (likely, tiles):
         drop_cut(done)
     named = reps.join(final, reps.rep == final.id, "left").select("s0", "s1", "n", F.coalesce("component", "rep").alias("component_id"))
     found = digest.select("doc_id", "n", "s0", "s1").join(named, ["s0", "s1", "n"], "left")
