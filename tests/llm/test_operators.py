@@ -286,3 +286,14 @@ def test_quality_on_held_out_rows(spark, none):
     blank = quality.quality_scores(docs.limit(5), labels.where(F.lit(False))).toPandas()
     assert (blank["score"] == 0.5).all()
     assert quality.quality_scores(none, labels).count() == 0
+
+
+def test_a_leaf_holds_several_templates_and_dominant_values_vary(spark):
+    level = lambda i: "INFO" if i % 5 < 3 else "WARN" if i % 5 == 3 else "ERROR"
+    rows = [(i, f"[main] worker state {level(i)} of the queue changed to {chr(97 + i)}{chr(98 + i)} by its owner tonight") for i in range(15)]
+    rows += [(100 + i, f"[main] worker state report that nobody but {chr(97 + i)}{chr(98 + i)} has asked for this whole week") for i in range(12)]
+    prose = random.Random(8)
+    rows += [(200 + i, "[main] worker state " + " ".join("".join(prose.choices("abcdefgh", k=6)) for _ in range(11))) for i in range(60)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({len(t.split()) for _, t in rows}) == 1
+    assert got == {i: int(i not in (0, 100) and i < 200) for i, _ in rows}
