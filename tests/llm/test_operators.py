@@ -297,3 +297,13 @@ def test_a_leaf_holds_several_templates_and_dominant_values_vary(spark):
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len({len(t.split()) for _, t in rows}) == 1
     assert got == {i: int(i not in (0, 100) and i < 200) for i, _ in rows}
+
+
+@pytest.mark.parametrize(("tokens", "docs", "dropped"), [(55, 9, True), (20, 2, True), (19, 2, False), (14, 3, True), (13, 3, False), (8, 5, True), (8, 4, False), (4, 10, True), (4, 9, False), (1, 10, True)])
+def test_longer_lines_recur_in_fewer_documents(spark, tokens, docs, dropped):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    passage = " ".join(word() for _ in range(tokens))
+    rows = [(i, " ".join(word() for _ in range(30 + 3 * i)) + "\n" + passage) for i in range(docs)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(dropped and i > 0) for i in range(docs)}
