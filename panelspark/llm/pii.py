@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Patterns of fixed form (e-mail, IP, card, phone) give seeds. The word before a seed, in lower case, is a lexical
-pattern; a pattern that precedes enough different seeds of one kind enters a graph with all the
-identifier-like words (those with a digit or an @) that follow it anywhere. Patterns and instances
-score each other in turn: a pattern by the share of all its occurrences that confident instances
-follow, an instance by the chance that not all of its patterns err. Instances of confident patterns
-that no form covers are added as spans of the kind; spans of fixed form always stay.
+Patterns of fixed form (e-mail, IP, card, phone) give seeds, each with the whole text of its span. The one to
+``LEFT`` words before a seed, in lower case, are lexical patterns; a pattern that precedes enough different seeds of
+one kind enters a graph with all the identifier-like words (those with a digit or an @) that follow it
+anywhere; number words with single spaces between them are one. Patterns and instances score each other in turn: a pattern
+by the share of all its occurrences that confident instances follow, an instance by the chance that not all of
+its patterns err, of which those that end in the same word count as the best one. Instances of
+confident patterns that no form covers are added as spans of the kind; spans of fixed form always stay.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from .spans import SPACE, joined, let, spans_where
 #: Different seeds that make a word a pattern, score from which patterns and instances count, rounds of scoring.
 SEEDS, CONFIDENT, ROUNDS = 5, 0.6, 4
 
+#: Most words of a pattern.
+LEFT = 3
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: A match starts where its first run of characters does, or where the match before it ended; runs are possessive, so that long runs cost linear time.
@@ -26,8 +30,9 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A word with a digit or an @.
-SHAPED = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+#: A run of number words with single spaces between, as in phones and cards, or a word with a digit or an @.
+_NUMBER = r"[+().-]*+[0-9][0-9().+-]*+"
+SHAPED = rf"(?<![^{SPACE}])(?:{_NUMBER}(?:\x20{_NUMBER})++(?![^{SPACE}])|[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+)"
 _TRIM = r"^[\"'(\[<]+|[\"')\]>.,;:!?]+$"
 
 
@@ -49,25 +54,38 @@ def _small(word: Column) -> Column:
 
 
 def fixed_forms(text: Column) -> Column:
-    """(rank of kind, start, kind, stop) of all spans of fixed form, in order."""
+    """(rank of kind, start, kind, stop, word) of all spans of fixed form, in order."""
     every = (
         spans_where(text, text.contains("@"), EMAIL),
         F.filter(spans_where(text, text.rlike(r"[0-9]\.[0-9]"), IP), lambda s: _small(s["word"])),
         F.filter(spans_where(text, text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), CARD), lambda s: _luhn(s["word"])),
         F.filter(spans_where(text, text.rlike(r"\+[0-9]"), PHONE), lambda s: F.length(_digits(s["word"])).between(9, 15)),
     )
-    named = [F.transform(found, lambda s: F.struct(F.lit(r).alias("rank"), s["start"].alias("start"), F.lit(k).alias("kind"), s["stop"].alias("stop"))) for r, (k, found) in enumerate(zip(KINDS, every, strict=True))]
+    named = [F.transform(found, lambda s: F.struct(F.lit(r).alias("rank"), s["start"].alias("start"), F.lit(k).alias("kind"), s["stop"].alias("stop"), s["word"].alias("word"))) for r, (k, found) in enumerate(zip(KINDS, every, strict=True))]
     return F.concat(*named)
 
 
+def _contexts(words: Column) -> Column:
+    """The last one, two, ... ``LEFT`` of an array's words, each joined by spaces; of no words: a space."""
+    last = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(LEFT))), lambda k: F.array_join(F.slice(words, -k, k), " "))
+    return F.when(F.size(words) > 0, last).otherwise(F.array(F.lit(" ")))
+
+
 def _shaped(text: Column) -> Column:
-    """Identifier-like words with the word before each, in lower case; without one: a space."""
+    """Identifier-like words with the patterns before each."""
+    last = lambda words: F.slice(words, F.greatest(F.size(words) - LEFT + 1, F.lit(1)), LEFT)
+    split = lambda x: F.filter(F.split(F.lower(x), f"[{SPACE}]+"), lambda w: w != "")
+
     def named(found: Column) -> Column:
-        near = lambda s: F.lower(F.regexp_extract(s["gap"], rf"([^{SPACE}]+)[{SPACE}]*$", 1))
-        before = lambda s, i: let(near(s), lambda n: F.when(n != "", n).when(i > 0, F.lower(F.get(found, i - 1)["word"])).otherwise(" "))
-        return F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.regexp_replace(s["word"], _TRIM, "").alias("instance"), before(s, i).alias("pattern")))
+        def one(s: Column, i: Column) -> Column:
+            near = F.slice(found, F.greatest(i - LEFT + 1, F.lit(1)), F.least(i, F.lit(LEFT)))
+            before = F.concat(F.flatten(F.transform(near, lambda x: F.concat(x["words"], x["own"]))), s["words"])
+            return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.regexp_replace(s["word"], _TRIM, "").alias("instance"), let(let(before, last), _contexts).alias("patterns"))
+
+        return F.transform(found, one)
 
-    return let(spans_where(text, text.rlike("[0-9@]"), SHAPED), named)
+    cells = F.transform(spans_where(text, text.rlike("[0-9@]"), SHAPED), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["word"].alias("word"), let(split(s["gap"]), last).alias("words"), let(split(s["word"]), last).alias("own")))
+    return let(cells, named)
 
 
 def graph_scores(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +95,9 @@ def graph_scores(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> t
     for _ in range(rounds):
         scores = edges.join(conf, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("conf")).alias("good")).join(totals, "pattern")
         scores = cut(scores.select("pattern", "kind", F.least(F.col("good") / (F.col("total") + 1), F.lit(0.999)).alias("score")), "patterns")
-        conf = edges.join(scores, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("conf"))
+        # Longer contexts hold the shorter ones, so that those which end in one word are not independent.
+        best = edges.join(scores, ["pattern", "kind"]).groupBy("instance", "kind", F.substring_index("pattern", " ", -1).alias("end")).agg(F.max("seed").alias("seed"), F.max("score").alias("score"))
+        conf = best.groupBy("instance", "kind").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("conf"))
         conf = cut(conf.select("instance", "kind", F.when(F.col("seed"), 1.0).otherwise(F.col("conf")).alias("conf")), "instances")
     return scores, conf
 
@@ -95,19 +115,26 @@ def personal_data(docs: DataFrame) -> DataFrame:
     words = found.where(F.size("shaped") > 0).select("row", "base", F.explode("shaped").alias("w")).select("row", "base", "w.*")
     over = F.filter("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start")))
     opens = F.get(F.filter("base", lambda b: (b["start"] >= F.col("start")) & (b["start"] < F.col("stop"))), F.lit(0))
-    words = words.withColumn("covered", F.size(over) > 0).withColumn("seed_kind", opens["kind"]).drop("base")
-    words = cut(words.where("not covered or seed_kind is not null"), "words")
+    words = words.withColumn("covered", F.size(over) > 0).withColumn("seed_kind", opens["kind"]).withColumn("instance", F.coalesce(opens["word"], F.col("instance"))).drop("base")
+    words = words.where("not covered or seed_kind is not null").withColumn("pattern", F.explode("patterns")).drop("patterns")
+    words = cut(words, "words")
     seeds = words.where(F.col("seed_kind").isNotNull())
     patterns = seeds.groupBy("pattern", F.col("seed_kind").alias("kind")).agg(F.countDistinct("instance").alias("support")).where(F.col("support") >= SEEDS).select("pattern", "kind")
     patterns = cut(patterns, "patterns")
-    every = docs.where(F.size(F.split("text", f"[{SPACE}]+")) > 0).select(F.explode(F.split("text", f"[{SPACE}]+")).alias("pattern"))
-    totals = every.select(F.lower("pattern").alias("pattern")).join(patterns.select("pattern").distinct(), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    # Occurrences by their last word first, which few words are; a pattern of a space is that of identifiers that open a text.
+    split = F.filter(F.split(F.lower("text"), f"[{SPACE}]+"), lambda w: w != "")
+    near = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("end"), F.slice(w, F.greatest(i - LEFT + 2, F.lit(1)), F.least(i + 1, F.lit(LEFT))).alias("near")))
+    ends = patterns.where("pattern <> ' '").select(F.substring_index("pattern", " ", -1).alias("end")).distinct()
+    every = docs.select(F.inline(let(split, near))).join(ends, "end").select(F.explode(_contexts(F.col("near"))).alias("pattern"))
+    opening = docs.where(F.col("text").rlike(f"[^{SPACE}]")).select(F.lit(" ").alias("pattern"))
+    totals = every.unionByName(opening).join(patterns.select("pattern").distinct(), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
     edges = words.join(patterns, "pattern").where("not covered or seed_kind = kind").groupBy("pattern", "kind", "instance").agg(F.max(F.col("covered")).alias("seed"), F.count("*").alias("n"))
     scores, conf = graph_scores(edges, cut(totals, "totals"))
     good = conf.where(F.col("conf") >= CONFIDENT).join(edges.where("not seed").select("pattern", "kind", "instance"), ["instance", "kind"]).join(scores.where(F.col("score") >= CONFIDENT), ["pattern", "kind"])
-    best = good.groupBy("pattern", "instance").agg(F.max_by("kind", "score").alias("kind"))
+    best = good.select("pattern", "instance", "kind", "score")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    added = words.where("not covered").join(best, ["pattern", "instance"]).select("row", F.struct(rank.alias("rank"), F.col("start"), F.col("kind"), F.col("stop")).alias("s")).groupBy("row").agg(F.collect_list("s").alias("added"))
+    hits = words.where("not covered").join(best, ["pattern", "instance"]).groupBy("row", "start", "stop", "instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    added = hits.select("row", F.struct(rank.alias("rank"), F.col("start"), F.col("kind"), F.col("stop"), F.col("instance").alias("word")).alias("s")).groupBy("row").agg(F.collect_list("s").alias("added"))
     both = found.select("doc_id", "base", "row").join(added, "row", "left")
     both = both.withColumn("all", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(added.schema["added"].dataType)))))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -307,3 +307,12 @@ def test_longer_lines_recur_in_fewer_documents(spark, tokens, docs, dropped):
     rows = [(i, " ".join(word() for _ in range(30 + 3 * i)) + "\n" + passage) for i in range(docs)]
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: int(dropped and i > 0) for i in range(docs)}
+
+
+@pytest.mark.parametrize(("kind", "fixed", "other"), [("phone", lambda i: f"+1 (988) 555-24{i}5", "988 555 7777"), ("card", lambda i: ("4111 1111 1111 1111", "5500 0000 0000 0004", "4000 0000 0000 0002", "4012 8888 8888 1881", "5105 1051 0510 5100", "4222 2222 2222 2220", "4111 1111 1111 1111", "5500 0000 0000 0004")[i], "4111 1111 1111 1112")])
+def test_context_discovers_spaced_numbers_after_common_words(spark, kind, fixed, other):
+    rows = [(i, f"you can reach me at {fixed(i)} any day") for i in range(8)] + [(8, f"please reach me at {other} or so")] + [(20 + i, "we met at noon and stayed at home") for i in range(30)]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    start = rows[8][1].index(other)
+    assert got[8]["spans"] == f"{kind}:{start}:{start + len(other)}" and got[8]["n_added"] == 1
+    assert all(r["n_added"] == 0 for i, r in got.items() if i != 8)
