@@ -91,14 +91,16 @@ def _rounded(limit: int) -> Column:
     return F.expr(step)
 
 
-def mix_sources(docs: DataFrame, share: float = SHARE, limit: int = LIMIT, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def mix_sources(docs: DataFrame, share: float = SHARE, limit: int = LIMIT, weights: tuple[int, ...] = WEIGHTS, keep: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, rate, copies, taken.
 
     A null or wordless text has size 0, rate 1 and one copy, which takes no words. A null source is a source,
     the last. Rows repeated under one doc_id share a hash and are told apart by size alone, so their
-    copies may fall on any of them. Other columns are ignored. An empty table gives an empty table.
+    copies may fall on any of them. Other columns are ignored, or with ``keep`` passed on in a struct _row. An empty table gives an
+    empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
+    kept = [F.struct(*docs.columns).alias("_row")] if keep else []
+    docs = docs.select(*kept, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
     docs = cut(docs.withColumn("hash", F.xxhash64("doc_id")).withColumn("part", F.pmod("hash", F.lit(PARTS)).cast("int")), "sizes")
     parts = cut(docs.groupBy("source", "size", "part").agg(F.count("*").alias("n")), "parts")
     histogram = cut(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "histogram")
@@ -122,4 +124,4 @@ def mix_sources(docs: DataFrame, share: float = SHARE, limit: int = LIMIT, weigh
     rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("hash", "doc_id"))
     dealt = docs.withColumn("rank", rank).join(share_of, _same(F.col("source"), F.col("_s")) & (F.col("size") == F.col("_size")) & (F.col("part") == F.col("_part")))
     copies = (whole(F.col("mine"), F.col("rank"), F.col("_n")) - whole(F.col("mine"), F.col("rank") - 1, F.col("_n"))).cast("long")
-    return dealt.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return dealt.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["_row"] if keep else []))

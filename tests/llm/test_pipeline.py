@@ -15,3 +15,23 @@ def test_stages(spark):
             assert docs.join(before, "doc_id", "left_anti").count() == 0
             assert 0.5 * count < docs.count() <= before.count()
     assert cp.STAGES[-1][1](spark, docs, d).where("length > 2048").count() == 0
+
+
+def test_mixture_keeps_null_ids_and_counts_each_repeated_row(spark):
+    from panelspark.llm.mixing import mix_sources
+
+    text = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None, text(1, 30), "a"), (None, text(2, 41), "b"), (None, None, "c")] + [(5, text(k, 10 + k), "b") for k in range(20)] + [(k, text(k, 50), "a") for k in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = cp.mixed(spark, docs, "")
+    assert got.columns == docs.columns
+    want = {}
+    for r in mix_sources(docs).collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        want[key] = want.get(key, 0) + r["copies"]
+    have = {}
+    for r in got.collect():
+        key = (r["doc_id"], r["source"], len((r["text"] or "").split()))
+        have[key] = have.get(key, 0) + 1
+    assert have == {k: v for k, v in want.items() if v}
+    assert (None, "c", 0) in have and (None, "a", 30) in have
