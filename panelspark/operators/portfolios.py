@@ -114,11 +114,20 @@ def first_front(population: DataFrame, higher: list[str], lower: list[str]) -> D
     return a.join(b, weak & strict, "left_anti")
 
 
-def fronts(population: DataFrame, higher: list[str], lower: list[str], most: int = 3) -> DataFrame:
-    """The first ``most`` Pareto fronts, from 0, peeled one after another in one plan."""
+def fronts(population: DataFrame, higher: list[str], lower: list[str], most: int | None = None) -> DataFrame:
+    """All Pareto fronts, from 0, peeled until nothing is left; the first ``most`` in one plan, where a caller asks for so many."""
     left, out = population, None
-    for k in range(most):
+    k = 0
+    while most is None or k < most:
+        if most is None:
+            # Each front is computed once: plans do not grow with the number of fronts.
+            left = left.localCheckpoint()
+            if out is not None and left.isEmpty():
+                return out
         front = first_front(left, higher, lower)
+        if most is None:
+            front = front.localCheckpoint()
         out = front.withColumn("front", F.lit(k)) if out is None else out.unionByName(front.withColumn("front", F.lit(k)))
-        left = left.join(front.select("portfolio_id"), "portfolio_id", "left_anti")
+        left = left.alias("l").join(front.select("portfolio_id").alias("f"), F.col("l.portfolio_id").eqNullSafe(F.col("f.portfolio_id")), "left_anti")
+        k += 1
     return out

@@ -84,3 +84,19 @@ def test_fold_and_stream_agree(spark, tmp_path):
     last = {r["asset"]: (r["mean"], r["variance"]) for r in spark.sql("select asset, max_by(mean, t) mean, max_by(variance, t) variance from ew group by asset").collect()}
     for r in ew.fold(batch, 5).collect():
         assert last[r["asset"]] == pytest.approx((r["mean"], r["variance"]))
+
+
+def test_fronts_are_peeled_until_nothing_is_left(spark):
+    from panelspark.operators.portfolios import fronts
+
+    rows = [(f"p{k}{j}", float(-k + j), float(k + j)) for k in range(6) for j in range(2)] + [(None, -9.0, 9.0)]
+    population = spark.createDataFrame(rows, "portfolio_id string, mean double, cvar double")
+    got = {r["portfolio_id"]: r["front"] for r in fronts(population, ["mean"], ["cvar"]).collect()}
+    want, left, k = {}, list(rows), 0
+    while left:
+        front = [a for a in left if not any(b[1] >= a[1] and b[2] <= a[2] and b[1:] != a[1:] for b in left)]
+        want |= {a[0]: k for a in front}
+        left, k = [a for a in left if a not in front], k + 1
+    assert k > 3 and got == want
+    assert fronts(population, ["mean"], ["cvar"], 2).count() == sum(v < 2 for v in want.values())
+    assert fronts(population.where("false"), ["mean"], ["cvar"]).count() == 0
