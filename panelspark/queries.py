@@ -436,11 +436,16 @@ def _weights(solve) -> Query:
     return query
 
 
+def shrunk(s: SparkSession, d: str) -> DataFrame:
+    series = monthly_returns(s, d)
+    return _weights(lambda m, c: al.shrunk_mean(m, c, series.select("t").distinct().count()))(s, d)
+
+
 register("min_variance_weights", None, _weights(lambda m, c: al.minimise(c, 0 * m)))
 register("max_utility_weights", None, _weights(lambda m, c: al.minimise(c, m, 5.0)))
 register("risk_parity_weights", None, _weights(lambda m, c: al.risk_budgeting(c)))
 register("hrp_weights", None, _weights(lambda m, c: al.hierarchical_risk_parity(c)))
-register("mu_shrunk_james_stein", None, _weights(lambda m, c: al.shrunk_mean(m, c, 82)))
+register("mu_shrunk_james_stein", None, shrunk)
 register("black_litterman", None, _weights(lambda m, c: al.black_litterman(c, m, np.eye(len(m))[:2] - np.eye(len(m))[2:4], np.array([0.01, 0.02]))[0]))
 
 

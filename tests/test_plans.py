@@ -100,3 +100,15 @@ def test_fronts_are_peeled_until_nothing_is_left(spark):
     assert k > 3 and got == want
     assert fronts(population, ["mean"], ["cvar"], 2).count() == sum(v < 2 for v in want.values())
     assert fronts(population.where("false"), ["mean"], ["cvar"]).count() == 0
+
+
+def test_james_stein_counts_the_observations_of_the_panel(spark, monkeypatch):
+    from panelspark import queries
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(0.01, 0.05, (20, 4))
+    series = spark.createDataFrame([(f"t{i:02}", f"a{j}", float(x[i, j])) for i in range(20) for j in range(4)], "t string, asset string, r double")
+    monkeypatch.setattr(queries, "monthly_returns", lambda s, d: series)
+    got = {r["asset"]: r["weight"] for r in queries.QUERIES["mu_shrunk_james_stein"](spark, "").collect()}
+    want = al.shrunk_mean(x.mean(axis=0), np.cov(x.T), 20)
+    assert [got[f"a{j}"] for j in range(4)] == pytest.approx(want, abs=1e-7)
