@@ -20,7 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     empty table gives an empty table.
     """
     pairs = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    both = cut(pairs.union(pairs.select("v", "u")).distinct(), "edges")
+    # Both directions from one reading, as what makes the edges may be costly.
+    either = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = cut(pairs.select(either.alias("e")).select("e.u", "e.v").distinct(), "edges")
     # Tables in files of a useful size, so that the planner sees how small they are and need not shuffle small ones.
     parts = both.count() // ROWS_IN_FILE + 1
     packed = cut(both.coalesce(parts), "edges")

@@ -46,19 +46,37 @@ class _Powers:
 _powers = _Powers()
 
 
+def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word of a text's bytes."""
+    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[raw], True]))
+    return edge[::2], edge[1::2]
+
+
+def range_hashes(codes: np.ndarray):
+    """A function of (start, end) arrays that hashes these ranges of a sequence of 64-bit codes, however long, in constant time each."""
+    up, down = _powers.to(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(codes * up[: len(codes)], out=sums[1:])
+
+    def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+    return of
+
+
+def byte_hashes(raw: np.ndarray):
+    """``range_hashes`` of bytes."""
+    return range_hashes(_BYTE[raw])
+
+
 def word_hashes(text: str) -> np.ndarray:
     """One hash per word, in order."""
     raw = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
     if not len(raw):
         return np.empty(0, dtype=np.uint64)
-    gap = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.r_[True, gap, True]))
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers.to(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return byte_hashes(raw)(*word_places(raw))
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
