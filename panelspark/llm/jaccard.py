@@ -6,14 +6,17 @@ doc_id that links reach from it. No link between different texts is lost, and no
 copies is expanded into pairs:
 
 1. One pass over the texts writes, per document, the set's size, a 128-bit signature of the set, its
-   prefix (the shingles of smallest hash, of which two linked sets share at least one) and a bitmap
-   with a bit for each shingle's hash. Equal signatures are one class from here on.
+   prefix (its rarest shingles, of which two linked sets share at least one) and a bitmap with a bit
+   for each shingle's hash. How rare a shingle is goes by counts over all documents in a table of fixed
+   size, made by a pass of its own. Equal signatures are one class from here on.
 2. Classes with the same smallest shingle hash compare bitmaps: the bits in which two bitmaps differ
    bound the symmetric difference from below and so the overlap from above. Those that may link meet
    once, with their whole texts, in tiles of bounded size, where sorted arrays are intersected and
    pairs already connected are skipped. This connects nearly all of each group of near copies by
    links in proportion to its members.
-3. Prefix shingles that more than one component holds in neighbouring size bands form tiles, which
+3. Prefix shingles that more than one component holds in neighbouring size bands form tiles. An entry
+   stays in its tile only with a partner that sizes and their places in the prefixes leave possible: two
+   sets whose first shared shingle has so many members before it cannot share those. Tiles that are left
    read bitmaps; a tile larger than ``BLOCK`` is dealt out as pairs of blocks. A tile returns a spanning
    forest of the pairs that lie in different components, satisfy the size bound and pass the bitmap
    bound. Every link not yet made lies within a tree of these forests together. The texts of each tree
@@ -24,10 +27,12 @@ copies is expanded into pairs:
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +49,10 @@ TEXTS_IN_LOT, ROWS_IN_LOT, ENTRIES_IN_LOT = 200, 8192, 50_000
 #: Size bands that share a lot's key.
 BANDS = 8
 KEY = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of a shingle's hash that name its place in the table of frequencies, slices in which the table is summed.
+RANKS, SLICES = 20, 16
+#: Most entries of a tile that are compared by place one with one; larger tiles go by sizes alone.
+PLACED = 64
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -84,17 +93,56 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _digest(percent: int, width: int):
+def _frequencies(width: int):
+    """How many documents of a partition hold a shingle of each of 2**``RANKS`` hash places, in slices of compressed counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, part = np.zeros(1 << RANKS, dtype=np.uint32), TaskContext.get().partitionId()
+        for pdf in batches:
+            for text in pdf["text"].tolist():
+                a = shingle_set(text if isinstance(text, str) else None, width)
+                np.add.at(count, (a >> np.uint64(64 - RANKS)).astype(np.int64), 1)
+        yield pd.DataFrame({"slice": range(SLICES), "part": part, "counts": [zlib.compress(x.astype(np.uint64).tobytes(), 1) for x in count.reshape(SLICES, -1)]})
+
+    return run
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(x), dtype=np.uint64) for x in pdf["counts"])
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+
+def frequency_ranks(docs: DataFrame, width: int) -> np.ndarray:
+    """A rank for each of 2**``RANKS`` hash places of shingles, rising with how many documents hold one; counted over all documents.
+
+    Partitions' counts add up in two turns, so that no task reads more than a fixed number of them at scale. The driver
+    gets one table of fixed size.
+    """
+    each = docs.select("text").mapInPandas(_frequencies(width), "slice int, part int, counts binary")
+    some = each.groupBy("slice", F.pmod("part", F.lit(1024)).alias("turn")).applyInPandas(_added, "slice int, counts binary")
+    found = {r["slice"]: r["counts"] for r in some.groupBy("slice").applyInPandas(_added, "slice int, counts binary").collect()}
+    count = np.concatenate([np.frombuffer(zlib.decompress(found[k]), dtype=np.uint64) for k in range(SLICES)]) if found else np.zeros(1 << RANKS, dtype=np.uint64)
+    # Equal counts have equal ranks; quantiles keep the ranks within 16 bits, whatever the counts.
+    ordered = np.sort(count)
+    return (np.searchsorted(ordered, count).astype(np.uint64) >> np.uint64(RANKS - 16)).astype(np.uint16)
+
+
+def prefix(a: np.ndarray, ranks: np.ndarray, length: int) -> np.ndarray:
+    """The rarest members of a sorted set: by rank of their places, then by hash."""
+    return a[np.argsort(ranks[(a >> np.uint64(64 - RANKS)).astype(np.int64)], kind="stable")[:length]]
+
+
+def _digest(percent: int, width: int, ranks: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+            for i, code, text in zip(pdf["doc_id"].tolist(), pdf["code"].tolist(), pdf["text"].tolist(), strict=True):
                 a = shingle_set(text if isinstance(text, str) else None, width)
                 n = len(a)
                 s = signature(a) if n else (0, 0)
-                keep = a[: prefix_length(n, percent)] if n else a
-                rows.append((i, n, *s, int(a[0].view(np.int64)) if n else 0, keep.tobytes(), bitmap(a).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "s0", "s1", "lo", "prefix", "bits"]).astype({"doc_id": "Int64"})
+                keep = prefix(a, ranks, prefix_length(n, percent)) if n else a
+                rows.append((i, code, n, *s, int(a[0].view(np.int64)) if n else 0, keep.tobytes(), bitmap(a).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "code", "n", "s0", "s1", "lo", "prefix", "bits"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -187,9 +235,13 @@ def _forests(percent: int):
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tile", "n", "doc_id"], kind="stable")
-        ids, comp, n, side, home = (pdf[c].to_numpy() for c in ("doc_id", "comp", "n", "side", "home"))
-        bits, out = _bitmaps(pdf["bits"]), []
+        each = pdf["entries"].map(len).to_numpy()
+        row = np.repeat(np.arange(len(pdf)), each)
+        e = pd.DataFrame([x for cell in pdf["entries"] for x in cell])
+        e = e.assign(row=row, doc_id=pdf["doc_id"].to_numpy()[row], n=pdf["n"].to_numpy()[row]).sort_values(["tile", "n", "doc_id"], kind="stable")
+        ids, comp, n, side, home = (e[c].to_numpy() for c in ("doc_id", "comp", "n", "side", "home"))
+        known, out = _bitmaps(pdf["bits"]), []
+        bits, pdf = [known[r] for r in e["row"]], e
         for a, b in _runs(pdf["tile"].to_numpy()):
             c, s, h = comp[a:b], side[a:b], home[a:b]
             if (c != c[0]).any():
@@ -214,32 +266,56 @@ def _entries(percent: int, lots: int):
             band = np.floor(np.log(n) / step + 1e-9).astype(np.int64)
             count = np.array([len(x) // 8 for x in pdf["prefix"]])
             row = np.repeat(np.arange(len(pdf)), count)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             key = np.frombuffer(b"".join(pdf["prefix"].tolist()), dtype=np.uint64)
             group = band // BANDS
             lower = np.flatnonzero((((band - 1) // BANDS) != group)[row])
-            row, key, group = np.r_[row, row[lower]], np.r_[key, key[lower]], np.r_[group[row], group[row[lower]] - 1]
+            row, key, place, group = np.r_[row, row[lower]], np.r_[key, key[lower]], np.r_[place, place[lower]], np.r_[group[row], group[row[lower]] - 1]
             with np.errstate(over="ignore"):
-                place = mix(key ^ ((group + 2).astype(np.uint64) * KEY))
-            lot, short = (place % np.uint64(lots)).astype(np.int64), (place >> np.uint64(32)).astype(np.uint32)
+                code = mix(key ^ ((group + 2).astype(np.uint64) * KEY))
+            lot, short = (code % np.uint64(lots)).astype(np.int64), (code >> np.uint64(32)).astype(np.uint32)
             order = np.lexsort((row, lot))
             ids, comp = pdf["doc_id"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)
             out = []
             for a, b in _runs(lot[order]):
                 o = order[a:b]
                 r = row[o]
-                out.append((int(lot[o[0]]), short[o].tobytes(), ids[r].tobytes(), (ids - comp)[r].tobytes(), n[r].tobytes(), group[o].astype(np.int16).tobytes()))
-            yield pd.DataFrame(out, columns=["lot", "key", "ids", "comp", "n", "group"])
+                out.append((int(lot[o[0]]), short[o].tobytes(), ids[r].tobytes(), (ids - comp)[r].tobytes(), n[r].astype(np.int32).tobytes(), place[o].astype(np.int32).tobytes(), group[o].astype(np.int16).tobytes()))
+            yield pd.DataFrame(out, columns=["lot", "key", "ids", "comp", "n", "place", "group"])
 
     return run
 
 
+def possible(tile: np.ndarray, comp: np.ndarray, n: np.ndarray, home: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Entries, sorted by tile and n, with a partner of another component in their tile with which, by sizes and places, they may link.
+
+    Were the tile's shingle the first that two sets share, they could share no more than it and what follows it
+    in both. A linked pair's first shared shingle passes this test, so the pair meets there. Tiles of more than ``PLACED``
+    entries are kept whole.
+    """
+    keep = np.zeros(len(tile), dtype=bool)
+    start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else np.empty(0, dtype=np.int64)
+    size = np.diff(np.r_[start, len(tile)])
+    keep |= np.repeat(size > PLACED, size)
+    size_of = np.repeat(size, size)
+    offset = np.arange(len(tile)) - np.repeat(start, size)
+    for step in range(1, min(PLACED, int(size.max(initial=0)))):
+        i = np.flatnonzero((offset + step < size_of) & (size_of <= PLACED))
+        j = i + step
+        need = -(-percent * (n[i] + n[j]) // (100 + percent))
+        fits = (comp[i] != comp[j]) & home[i] & (need <= np.minimum(n[i] - place[i], n[j] - place[j]))
+        keep[i[fits]] = keep[j[fits]] = True
+    return keep
+
+
 def _survivors(percent: int):
     """Entries of tiles (shingle, size band) that may have a partner of another component, with the tile's count of them."""
     step = math.log(100 / percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         read = lambda c, kind: np.frombuffer(b"".join(pdf[c].tolist()), dtype=kind)
-        key, ids, n, group = read("key", np.uint32), read("ids", np.int64), read("n", np.int64), read("group", np.int16)
+        key, ids, group = read("key", np.uint32), read("ids", np.int64), read("group", np.int16)
+        n, place = read("n", np.int32).astype(np.int64), read("place", np.int32).astype(np.int64)
         comp = ids - read("comp", np.int64)
         band = np.floor(np.log(n) / step + 1e-9).astype(np.int64)
         homes, guests = np.flatnonzero(band // BANDS == group), np.flatnonzero((band - 1) // BANDS == group)
@@ -249,7 +325,7 @@ def _survivors(percent: int):
             tile = mix((key[at].astype(np.uint64) << np.uint64(16)) ^ ((band[at] - ~home) * 2 + 1).astype(np.uint64) * KEY).view(np.int64)
         order = np.lexsort((ids[at], n[at], tile))
         at, home, tile = at[order], home[order], tile[order]
-        ids, comp, n = ids[at], comp[at], n[at]
+        ids, comp, n, place = ids[at], comp[at], n[at], place[at]
         last = len(at)
         same = np.r_[(tile[1:] == tile[:-1]) & (comp[1:] == comp[:-1]), False] if last else np.empty(0, dtype=bool)
         edges = np.flatnonzero(~same)
@@ -259,6 +335,8 @@ def _survivors(percent: int):
         a, b = np.minimum(after, last - 1), np.maximum(before, 0)
         keep = (after < last) & (tile[a] == tile) & (n[a] * percent <= 100 * n) & home
         keep |= (before >= 0) & (tile[b] == tile) & (n * percent <= 100 * n[b])
+        tile, ids, comp, n, home, place = (x[keep] for x in (tile, ids, comp, n, home, place))
+        keep = possible(tile, comp, n, home, place, percent)
         tile = tile[keep]
         _, index, count = np.unique(tile, return_inverse=True, return_counts=True)
         return pd.DataFrame({"tile": tile, "doc_id": ids[keep], "comp": comp[keep], "n": n[keep], "home": home[keep], "c": count[index]})
@@ -270,46 +348,63 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
     Null, empty or wordless texts have size 0, link with nothing and are their own component. Equal
-    rows have equal results. A null doc_id has the component of its class, null if it has no other.
-    Other columns of ``docs`` are ignored. An empty table gives an empty table.
+    rows have equal results, and rows of one doc_id with different texts are joined each for itself. Rows of a null doc_id
+    link like others; their component is the smallest doc_id in it, null if it has none. Texts may have any length. Other columns of ``docs`` are
+    ignored. An empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest = cut(docs.mapInPandas(_digest(percent, width), "doc_id long, n long, s0 long, s1 long, lo long, prefix binary, bits binary"), "digest")
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("code"), text.alias("text"))
+    ranks = frequency_ranks(docs, width)
+    kind = "doc_id long, code long, n long, s0 long, s1 long, lo long, prefix binary, bits binary"
+    digest = cut(docs.mapInPandas(_digest(percent, width, ranks), kind).withColumn("row", F.monotonically_increasing_id()), "digest")
     total = digest.count()
-    reps = cut(digest.where("n > 0 and doc_id is not null").groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("rep"), F.min("lo").alias("lo")), "reps")
-    bits = digest.select("doc_id", "bits").dropDuplicates(["doc_id"])
+    # One row stands for a class of equal sets; from here on it is the class's name.
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "code", "lo"))
+    reps = digest.where("n > 0").groupBy("s0", "s1", "n").agg(one.alias("one")).select("s0", "s1", "n", "one.doc_id", F.col("one.row").alias("id"), "one.code", "one.lo")
+    reps = cut(reps, "reps")
+    mine = digest.select(F.col("row").alias("id"), "prefix", "bits")
     lot = lambda rows, each: F.pmod("tile", F.lit(rows // each + 1))
+    as_doc = lambda df: df.withColumnRenamed("id", "doc_id")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        """Each class of ``ids`` with the text of the row that stands for it."""
+        wanted = reps.select("id", "code").join(ids, "id")
+        found = only_ids(docs.select("code", "text"), wanted.select("code"), "code")
+        return found.join(wanted, "code")
 
     shared = reps.groupBy("lo").agg(F.count("*").alias("c")).where("c > 1")
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK).cast("long"))
-    meet = reps.join(shared, "lo").select(F.col("rep").alias("doc_id"), "n", F.xxhash64("lo", part).alias("tile"))
-    likely = meet.join(bits, "doc_id").withColumn("lot", lot(total, ROWS_IN_LOT)).groupBy("lot").applyInPandas(_likely(percent), "doc_id long, root long")
-    likely = cut(likely, "likely")
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / TILE).cast("long"))
-    meet = likely.join(likely.groupBy("root").agg(F.count("*").alias("c")), "root").select("doc_id", F.xxhash64("root", part).alias("tile"), F.col("doc_id").alias("comp"), F.lit(-1).alias("side"))
-    texts = only_ids(docs, likely.select("doc_id"), "doc_id").join(meet, "doc_id").withColumn("lot", lot(total, TEXTS_IN_LOT))
-    links = cut(texts.groupBy("lot").applyInPandas(_tiles(percent, width), "u long, v long"), "links")
-    first = components(links)
-
-    nodes = reps.join(first, reps.rep == first.id, "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("comp"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK).cast("long"))
+    meet = reps.select("id", "n", "lo").join(shared, "lo").select("id", "n", F.xxhash64("lo", part).alias("tile"))
+    likely = as_doc(meet.join(mine.select("id", "bits"), "id")).withColumn("lot", lot(total, ROWS_IN_LOT)).groupBy("lot").applyInPandas(_likely(percent), "doc_id long, root long")
+    likely = cut(likely.withColumnRenamed("doc_id", "id"), "likely")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / TILE).cast("long"))
+    meet = likely.join(likely.groupBy("root").agg(F.count("*").alias("c")), "root").select("id", F.xxhash64("root", part).alias("tile"), F.col("id").alias("comp"), F.lit(-1).alias("side"))
+    links = cut(as_doc(texts(meet)).withColumn("lot", lot(total, TEXTS_IN_LOT)).groupBy("lot").applyInPandas(_tiles(percent, width), "u long, v long"), "links")
+    first = components(links).withColumnRenamed("component", "comp")
+
+    nodes = cut(reps.select("id", "n").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "nodes")
     lots = (digest.agg(F.sum(F.length("prefix"))).first()[0] or 0) // (8 * ENTRIES_IN_LOT) + 1
-    dealt = digest.select("doc_id", "n", "prefix").join(nodes, "doc_id").mapInPandas(_entries(percent, lots), "lot long, key binary, ids binary, comp binary, n binary, group binary")
-    tiles = cut(dealt.groupBy("lot").applyInPandas(_survivors(percent), "tile long, doc_id long, comp long, n long, home boolean, c long"), "tiles")
+    dealt = as_doc(nodes.join(mine.select("id", "prefix"), "id")).mapInPandas(_entries(percent, lots), "lot long, key binary, ids binary, comp binary, n binary, place binary, group binary")
+    tiles = cut(dealt.groupBy("lot").applyInPandas(_survivors(percent), "tile long, doc_id long, comp long, n long, home boolean, c long").withColumnRenamed("doc_id", "id"), "tiles")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    at = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
+    at = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     dealt = tiles.withColumn("blocks", blocks).withColumn("at", at).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("doc_id", "n", "comp", "home", F.xxhash64("tile", F.least("at", "to"), F.greatest("at", "to")).alias("tile"), F.when(F.col("at") == F.col("to"), F.lit(-1)).otherwise(F.col("at")).alias("side"))
-    dealt = dealt.join(bits, "doc_id").withColumn("lot", lot(tiles.count(), ROWS_IN_LOT))
-    trees = components(dealt.groupBy("lot").applyInPandas(_forests(percent), "u long, v long"))
+    side = F.when(F.col("at") == F.col("to"), F.lit(-1)).otherwise(F.col("at")).alias("side")
+    dealt = dealt.select("id", "n", "comp", "home", F.xxhash64("tile", F.least("at", "to"), F.greatest("at", "to")).alias("tile"), side)
+    # A bitmap goes once to a lot that holds its class, not once for each entry.
+    dealt = dealt.withColumn("lot", lot(tiles.count(), ROWS_IN_LOT))
+    entries = dealt.select("lot", "id", "n", F.struct("tile", "comp", "home", "side").alias("e")).groupBy("lot", "id", "n").agg(F.collect_list("e").alias("entries"))
+    trees = components(as_doc(entries.join(mine.select("id", "bits"), "id")).groupBy("lot").applyInPandas(_forests(percent), "u long, v long"))
     sizes = trees.groupBy(F.col("component").alias("tree")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    meet = trees.select(F.col("id").alias("doc_id"), F.col("component").alias("tree")).join(sizes, "tree").join(nodes, "doc_id")
+    meet = trees.withColumnRenamed("component", "tree").join(sizes, "tree").join(nodes.select("id", "comp"), "id")
     meet = meet.withColumn("at", at).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select("doc_id", "comp", F.xxhash64("tree", F.least("at", "to"), F.greatest("at", "to")).alias("tile"), F.when(F.col("at") == F.col("to"), F.lit(-1)).otherwise(F.col("at")).alias("side"))
-    texts = only_ids(docs, trees.select(F.col("id").alias("doc_id")), "doc_id").join(meet, "doc_id").withColumn("lot", lot(total, TEXTS_IN_LOT))
-    more = texts.groupBy("lot").applyInPandas(_tiles(percent, width), "u long, v long")
+    meet = meet.select("id", "comp", F.xxhash64("tree", F.least("at", "to"), F.greatest("at", "to")).alias("tile"), side)
+    more = as_doc(texts(meet)).withColumn("lot", lot(total, TEXTS_IN_LOT)).groupBy("lot").applyInPandas(_tiles(percent, width), "u long, v long")
     final = components(links.union(more))
-    for done in (likely, tiles):
+    named = reps.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = cut(named.select("s0", "s1", "n", "component").join(least, "component").select("s0", "s1", "n", "component_id"), "named")
+    for done in (likely, tiles, links, nodes, reps):
         drop_cut(done)
-    named = reps.join(final, reps.rep == final.id, "left").select("s0", "s1", "n", F.coalesce("component", "rep").alias("component_id"))
     found = digest.select("doc_id", "n", "s0", "s1").join(named, ["s0", "s1", "n"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
