@@ -4,9 +4,9 @@ Documents become token ids (an end id after each); only those longer than ``capa
 matter by length alone, so the program works on the histogram of lengths: a configuration is a
 multiset of lengths that fits a sequence, and the program covers every length's count by as few
 configurations as possible. Multiplicative weights solve it: each length has a price, a knapsack dynamic
-program finds the most valuable configuration at these prices, and prices of lengths that it covers
-fall. The averaged solution is rounded down, and what is left is packed best-fit decreasing, again on
-the histogram. The driver holds histogram and configurations (both bounded by ``capacity``), never pieces.
+program finds the most valuable configurations at these prices, and prices of lengths that are behind
+in coverage grow. Coverage is rounded down to whole pieces, and the few pieces left are packed best-fit
+decreasing, again on the histogram. The driver holds histogram and configurations (both bounded by ``capacity``), never pieces.
 """
 
 from __future__ import annotations
@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rounds of multiplicative weights; each adds at most one configuration.
-ROUNDS = 160
+#: Rounds of multiplicative weights, each with one knapsack; levels to which coverage rises in turn.
+ROUNDS, LEVELS = 96, 8
+#: Growth of the weight of a length behind in a round, share of the best value that a configuration may lack.
+STEP, NEAR = 0.002, 0.001
+#: What a piece costs in tokens, to prefer configurations of few pieces among equally full ones.
+EACH = 0.01
 #: Words whose ids a Python worker remembers at most.
 REMEMBERED = 400_000
 
@@ -114,94 +118,96 @@ def _pieces(path: str, capacity: int, end: int):
     return run
 
 
-def best_configuration(price: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Lengths (with repeats) of the most valuable set that fits: an unbounded knapsack by dynamic programming.
-
-    ``price[l]`` is the value of length l, ``most[l]`` how many pieces have it; repeats beyond that are cut off.
-    """
+def knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best, took): the greatest value that fits each room, and a length that an optimal filling of it takes (0: none)."""
     capacity = len(price) - 1
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    lengths = np.flatnonzero(price > 0)
+    lengths = np.flatnonzero(price > 0)[::-1]  # of equal values the one with the longest piece
+    gain = price[lengths]
     for c in range(1, capacity + 1):
-        fits = lengths[: np.searchsorted(lengths, c, side="right")]
         best[c] = best[c - 1]
-        if len(fits):
-            value = price[fits] + best[c - fits]
+        a = int(np.searchsorted(-lengths, -c))
+        if a < len(lengths):
+            value = gain[a:] + best[c - lengths[a:]]
             k = int(value.argmax())
             if value[k] > best[c]:
-                best[c], took[c] = value[k], fits[k]
-    out, c = [], capacity
-    while c > 0:
-        if took[c]:
-            out.append(took[c])
-            c -= took[c]
-        else:
-            c -= 1
-    kept, count = np.unique(np.array(out, dtype=np.int64), return_counts=True)
-    left = most.copy()
-    out = np.repeat(kept, np.minimum(count, most[kept])).tolist()
-    np.subtract.at(left, out, 1)
-    room = capacity - sum(out)
-    while room and len(fits := np.flatnonzero(left[: room + 1] * (price[: room + 1] > 0))):
-        out.append(int(fits[-1]))
-        left[fits[-1]] -= 1
-        room -= int(fits[-1])
-    return np.sort(np.array(out, dtype=np.int64))
-
-
-def fractional_cover(count: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Configurations with amounts that cover every length's count, nearly as few as a fraction can.
-
-    Prices start in proportion to lengths, which is optimal wherever sequences can be filled, and grow on
-    lengths that the configurations so far cover least.
+                best[c], took[c] = value[k], lengths[a + k]
+    return best, took
+
+
+def filling(took: list[int], room: int, left: np.ndarray, first: int) -> list[int]:
+    """``first`` and the lengths of an optimal filling of the room beside it; a length that ``left`` no longer has gives way to the longest that it has."""
+    out, used = [first], {first: 1}
+    while room > 0:
+        x = took[room]
+        if not x:
+            room -= 1
+            continue
+        if used.get(x, 0) >= left[x]:
+            have = left[: room + 1].copy()
+            for y, n in used.items():
+                if y <= room:
+                    have[y] -= n
+            fits = np.flatnonzero(have > 0)
+            if not len(fits):
+                break
+            x = int(fits[-1])
+        out.append(x)
+        used[x] = used.get(x, 0) + 1
+        room -= x
+    return out
+
+
+def configuration_program(count: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """(configurations with how many sequences take each, a lower bound of the sequences that any packing needs).
+
+    The covering program asks that every length's count be covered. Its dual prices lengths so that no configuration is
+    worth more than 1; the knapsack gives the worth of the best, and so from any prices a bound. Coverage rises
+    in ``LEVELS`` equal steps, rounded down to whole pieces, so that amounts are whole too. In a round one knapsack
+    yields for every length behind the level the best configuration that holds it; those within ``NEAR`` of the
+    best of all are taken as often as none of their lengths passes the level. Weights of lengths still behind grow by
+    the factor ``exp(STEP)``, so that the next round's configurations prefer them.
     """
-    need = count.astype(float)
-    live = need > 0
-    price = np.where(live, np.arange(len(need), dtype=float), 0.0)
-    found: dict[bytes, int] = {}
-    sets: list[np.ndarray] = []
+    capacity = len(count) - 1
+    need, lengths = count.astype(np.int64), np.arange(capacity + 1)
     made = np.zeros_like(need)
-    amounts: list[float] = []
-    step = 0.5
-    for _ in range(rounds):
-        if not (price > 0).any():
-            break
-        chosen = best_configuration(price, count)
-        if not len(chosen):
-            break
-        kept, times = np.unique(chosen, return_counts=True)
-        # As much of it as the scarcest of its lengths allows: the width of the step is 1.
-        amount = float((need[kept] / times).min())
-        k = found.setdefault(chosen.tobytes(), len(sets))
-        if k == len(sets):
-            sets.append(chosen)
-            amounts.append(0.0)
-        amounts[k] += amount
-        made[kept] += amount * times
-        cover = np.where(live, made / np.maximum(need, 1), 0)
-        price = np.where(live, np.arange(len(need)) * np.exp(-step * (cover - cover[live].min())), 0.0)
-        price[price < price.max() * 1e-6] = 0
-    # Scaled so that no length is covered beyond its count: what is missing goes to the rounding.
-    over = max(1.0, float((made[live] / need[live]).max())) if live.any() else 1.0
-    return [(s, a / over) for s, a in zip(sets, amounts, strict=True)]
+    amounts: dict[tuple[int, ...], int] = {}
+    worth = np.where(need > 0, lengths, 0).astype(float)
+    bound = float((need * worth).sum() / knapsack(worth)[0][capacity]) if need.any() else 0.0
+    for level in range(1, LEVELS + 1):
+        target, weight = need * level // LEVELS, np.ones(capacity + 1)
+        for _ in range(max(1, rounds // LEVELS)):
+            behind = np.flatnonzero(made < target)
+            if not len(behind):
+                break
+            # A length at its level has no price until the next one; each piece costs a little, so that configurations have few.
+            price = np.where(made < target, lengths * weight - EACH, 0.0)
+            best, took = knapsack(price)
+            bound = max(bound, float((need * price).sum() / best[capacity]))
+            steps, before, left = took.tolist(), made, target - made
+            for x in behind[np.argsort(-price[behind], kind="stable")].tolist():
+                if not left[x] or price[x] + best[capacity - x] < (1 - NEAR) * best[capacity]:
+                    continue
+                chosen = filling(steps, capacity - x, left, x)
+                if sum(chosen) >= capacity * (1 - NEAR):
+                    kept, times = np.unique(chosen, return_counts=True)
+                    n = int((left[kept] // times).min())
+                    amounts[tuple(sorted(chosen))] = amounts.get(tuple(sorted(chosen)), 0) + n
+                    left[kept] -= n * times
+            made = target - left
+            if (made == before).all():
+                break
+            weight[made < target] *= np.exp(STEP)
+    return [(np.array(c), n) for c, n in amounts.items()], bound
 
 
 def pack_histogram(count: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Configurations with how many sequences take each; together they hold exactly ``count`` pieces of each length."""
-    capacity = len(count) - 1
     left = count.astype(np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
-    if left[capacity]:
-        out.append((np.array([capacity]), int(left[capacity])))
-        left[capacity] = 0
-    for chosen, amount in fractional_cover(left.copy(), rounds):
-        kept, times = np.unique(chosen, return_counts=True)
-        n = min(int(amount), int((left[kept] // times).min()))
-        if n:
-            out.append((chosen, n))
-            left[kept] -= n * times
-    out += best_fit(left)
-    return out
+    out, _ = configuration_program(left, rounds)
+    for chosen, n in out:
+        np.subtract.at(left, chosen, n)
+    return out + best_fit(left)
 
 
 def best_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
