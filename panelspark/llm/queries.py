@@ -82,8 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_top_k": """
         WITH codes AS (
-            SELECT vec_id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN 1 ELSE 0 END) AS bits
-            FROM embeddings WHERE embedding IS NOT NULL
+            SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN 1 ELSE 0 END) AS bits
+            FROM embeddings WHERE len(embedding) > 0
         ), pairs AS (
             SELECT q.vec_id AS query_id, c.vec_id,
                    CAST(list_sum(list_transform(list_zip(q.bits, c.bits), lambda p: abs(p[1] - p[2]))) AS INTEGER) AS distance
