@@ -1,17 +1,17 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Patterns of fixed form (e-mail, IP, card, phone) give seeds, each with the whole text of its span. The one to
-``LEFT`` words before a seed, in lower case, are lexical patterns; a pattern that precedes enough different seeds of
-one kind enters a graph with all the identifier-like words (those with a digit or an @) that follow it
+``CONTEXT`` words before a seed and those after it, in lower case, are lexical patterns; a pattern next to enough
+different seeds of one kind enters a graph with all the identifier-like words (those with a digit or an @) next to it
 anywhere; number words with single spaces between them are one. Patterns and instances score each other in turn: a pattern
-by the share of all its occurrences that confident instances follow, an instance by the chance that not all of
-its patterns err, of which those that end in the same word count as the best one. Instances of
+by the share of all occurrences of its words that have confident instances beside them, an instance by the chance that not all of
+its patterns err, of which those that share the nearest word count as the best one. Instances of
 confident patterns that no form covers are added as spans of the kind; spans of fixed form always stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -20,8 +20,8 @@ from .spans import SPACE, joined, let, spans_where
 #: Different seeds that make a word a pattern, score from which patterns and instances count, rounds of scoring.
 SEEDS, CONFIDENT, ROUNDS = 5, 0.6, 4
 
-#: Most words of a pattern.
-LEFT = 3
+#: Most words of a pattern, on either side.
+CONTEXT = 3
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -65,27 +65,61 @@ def fixed_forms(text: Column) -> Column:
     return F.concat(*named)
 
 
-def _contexts(words: Column) -> Column:
-    """The last one, two, ... ``LEFT`` of an array's words, each joined by spaces; of no words: a space."""
-    last = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(LEFT))), lambda k: F.array_join(F.slice(words, -k, k), " "))
-    return F.when(F.size(words) > 0, last).otherwise(F.array(F.lit(" ")))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), f"[{SPACE}]+"), lambda w: w != "")
+
+
+def _contexts(words: Column, side: str) -> Column:
+    """The one, two, ... ``CONTEXT`` words of an array nearest to its end (L) or start (R), each joined by spaces behind the side's letter; of no words: the letter and a space (L), none (R)."""
+    near = (lambda k: F.slice(words, -k, k)) if side == "L" else (lambda k: F.slice(words, 1, k))
+    some = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(CONTEXT))), lambda k: F.concat(F.lit(side + " "), F.array_join(near(k), " ")))
+    return F.when(F.size(words) > 0, some).otherwise(F.array(F.lit("L  ")) if side == "L" else F.array().cast("array<string>"))
 
 
 def _shaped(text: Column) -> Column:
-    """Identifier-like words with the patterns before each."""
-    last = lambda words: F.slice(words, F.greatest(F.size(words) - LEFT + 1, F.lit(1)), LEFT)
-    split = lambda x: F.filter(F.split(F.lower(x), f"[{SPACE}]+"), lambda w: w != "")
+    """Identifier-like words with the patterns before and after each."""
+    last = lambda words: F.slice(words, F.greatest(F.size(words) - CONTEXT + 1, F.lit(1)), CONTEXT)
+    first = lambda words: F.slice(words, 1, CONTEXT)
 
-    def named(found: Column) -> Column:
+    def named(cells: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
-            near = F.slice(found, F.greatest(i - LEFT + 1, F.lit(1)), F.least(i, F.lit(LEFT)))
-            before = F.concat(F.flatten(F.transform(near, lambda x: F.concat(x["words"], x["own"]))), s["words"])
-            return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.regexp_replace(s["word"], _TRIM, "").alias("instance"), let(let(before, last), _contexts).alias("patterns"))
+            back = F.slice(cells, F.greatest(i - CONTEXT + 1, F.lit(1)), F.least(i, F.lit(CONTEXT)))
+            before = F.concat(F.flatten(F.transform(back, lambda x: F.concat(x["last"], x["own"]))), s["last"])
+            after = F.flatten(F.transform(F.slice(cells, i + 2, F.lit(CONTEXT)), lambda x: F.concat(x["first"], x["own"])))
+            patterns = F.concat(let(let(before, last), lambda w: _contexts(w, "L")), let(let(after, first), lambda w: _contexts(w, "R")))
+            return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.regexp_replace(s["word"], _TRIM, "").alias("instance"), patterns.alias("patterns"))
+
+        return F.filter(F.transform(cells, one), lambda x: x["start"].isNotNull())
+
+    def cell(s: Column) -> Column:
+        return let(_words(s["gap"]), lambda w: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["word"].alias("word"), last(w).alias("last"), first(w).alias("first"), let(_words(F.coalesce(s["word"], F.lit(""))), first).alias("own")))
 
-        return F.transform(found, one)
+    found = spans_where(text, text.rlike("[0-9@]"), SHAPED)
+    null = F.lit(None)
+    # What follows the last one is a cell without a word.
+    rest = lambda f: F.substring(text, F.coalesce(F.get(f, F.size(f) - 1)["stop"], F.lit(0)).cast("int") + 1, F.length(text))
+    tail = lambda f: F.struct(null.cast("long").alias("start"), null.cast("long").alias("stop"), null.cast("string").alias("word"), rest(f).alias("gap"))
+    cells = let(found, lambda f: F.when(F.size(f) > 0, F.transform(F.concat(f, F.array(tail(f))), cell)))
+    return F.coalesce(let(cells, named), F.array().cast("array<struct<start: bigint, stop: bigint, instance: string, patterns: array<string>>>"))
 
-    cells = F.transform(spans_where(text, text.rlike("[0-9@]"), SHAPED), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["word"].alias("word"), let(split(s["gap"]), last).alias("words"), let(split(s["word"]), last).alias("own")))
-    return let(cells, named)
+
+def marked(found: DataFrame) -> DataFrame:
+    """One row per identifier-like word of ``found`` (row, base, shaped): row, start, stop, instance, patterns, covered, seed_kind.
+
+    A word is covered if a base span overlaps it, and a seed of the kind of the first that opens in it, whose text is then
+    the instance. Spans and words meet sorted by start, so that a text with many of both costs no more than sorting them.
+    """
+    spans = found.select("row", F.inline("base")).select("row", "start", "stop", "kind", "word", F.lit(None).cast("array<string>").alias("patterns"), F.lit(0).alias("is_word"))
+    words = found.select("row", F.inline("shaped")).select("row", "start", "stop", F.lit(None).cast("string").alias("kind"), F.col("instance").alias("word"), "patterns", F.lit(1).alias("is_word"))
+    every = spans.unionByName(words)
+    up = Window.partitionBy("row").orderBy("start", F.desc("is_word")).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("row").orderBy(F.desc("start"), "is_word").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.max(F.when(F.col("is_word") == 0, F.col("stop"))).over(up)
+    at = F.last(F.when(F.col("is_word") == 0, F.struct("start", "kind", "word")), ignorenulls=True).over(down)
+    every = every.withColumn("before", before).withColumn("at", at).where("is_word = 1")
+    opens = F.coalesce(F.col("at.start") < F.col("stop"), F.lit(False))
+    covered = opens | F.coalesce(F.col("before") > F.col("start"), F.lit(False))
+    return every.select("row", "start", "stop", F.when(opens, F.col("at.word")).otherwise(F.col("word")).alias("instance"), "patterns", covered.alias("covered"), F.when(opens, F.col("at.kind")).alias("seed_kind"))
 
 
 def graph_scores(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -95,8 +129,9 @@ def graph_scores(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> t
     for _ in range(rounds):
         scores = edges.join(conf, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("conf")).alias("good")).join(totals, "pattern")
         scores = cut(scores.select("pattern", "kind", F.least(F.col("good") / (F.col("total") + 1), F.lit(0.999)).alias("score")), "patterns")
-        # Longer contexts hold the shorter ones, so that those which end in one word are not independent.
-        best = edges.join(scores, ["pattern", "kind"]).groupBy("instance", "kind", F.substring_index("pattern", " ", -1).alias("end")).agg(F.max("seed").alias("seed"), F.max("score").alias("score"))
+        # Longer contexts hold the shorter ones, so that those with one nearest word are not independent.
+        nearest = F.when(F.col("pattern").startswith("R"), F.concat(F.lit("R "), F.substring_index(F.expr("substring(pattern, 3)"), " ", 1))).otherwise(F.substring_index("pattern", " ", -1))
+        best = edges.join(scores, ["pattern", "kind"]).groupBy("instance", "kind", nearest.alias("end")).agg(F.max("seed").alias("seed"), F.max("score").alias("score"))
         conf = best.groupBy("instance", "kind").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("conf"))
         conf = cut(conf.select("instance", "kind", F.when(F.col("seed"), 1.0).otherwise(F.col("conf")).alias("conf")), "instances")
     return scores, conf
@@ -106,28 +141,30 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every row of ``docs`` (doc_id, text).
 
     Counts and digest are those of the fixed forms; ``spans`` also lists the ``n_added`` spans by context. A
-    null text counts as empty. Repeated rows are scanned each. Other columns are ignored. An empty table
-    gives an empty table.
+    null text counts as empty. Repeated rows are scanned each. Texts may have any length and any number of matches. Other columns, whatever their names, are
+    ignored. An empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = docs.select("doc_id", fixed_forms(F.col("text")).alias("base"), _shaped(F.col("text")).alias("shaped")).withColumn("row", F.monotonically_increasing_id())
     found = cut(found, "found")
-    words = found.where(F.size("shaped") > 0).select("row", "base", F.explode("shaped").alias("w")).select("row", "base", "w.*")
-    over = F.filter("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start")))
-    opens = F.get(F.filter("base", lambda b: (b["start"] >= F.col("start")) & (b["start"] < F.col("stop"))), F.lit(0))
-    words = words.withColumn("covered", F.size(over) > 0).withColumn("seed_kind", opens["kind"]).withColumn("instance", F.coalesce(opens["word"], F.col("instance"))).drop("base")
-    words = words.where("not covered or seed_kind is not null").withColumn("pattern", F.explode("patterns")).drop("patterns")
+    words = marked(found).where("not covered or seed_kind is not null").withColumn("pattern", F.explode("patterns")).drop("patterns")
     words = cut(words, "words")
     seeds = words.where(F.col("seed_kind").isNotNull())
     patterns = seeds.groupBy("pattern", F.col("seed_kind").alias("kind")).agg(F.countDistinct("instance").alias("support")).where(F.col("support") >= SEEDS).select("pattern", "kind")
     patterns = cut(patterns, "patterns")
-    # Occurrences by their last word first, which few words are; a pattern of a space is that of identifiers that open a text.
-    split = F.filter(F.split(F.lower("text"), f"[{SPACE}]+"), lambda w: w != "")
-    near = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("end"), F.slice(w, F.greatest(i - LEFT + 2, F.lit(1)), F.least(i + 1, F.lit(LEFT))).alias("near")))
-    ends = patterns.where("pattern <> ' '").select(F.substring_index("pattern", " ", -1).alias("end")).distinct()
-    every = docs.select(F.inline(let(split, near))).join(ends, "end").select(F.explode(_contexts(F.col("near"))).alias("pattern"))
-    opening = docs.where(F.col("text").rlike(f"[^{SPACE}]")).select(F.lit(" ").alias("pattern"))
-    totals = every.unionByName(opening).join(patterns.select("pattern").distinct(), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    # A context on either side is a run of words; every run in the texts is met at its first word, which few words are.
+    # A pattern without words is that of identifiers that open a text.
+    sought = patterns.select(F.expr("substring(pattern, 3)").alias("run"), F.expr("substring(pattern, 1, 2)").alias("side"), "pattern").distinct()
+    heads = sought.where("run <> ' '").select(F.substring_index("run", " ", 1).alias("w0")).distinct()
+    shifted = lambda w: F.arrays_zip(w.alias("w0"), *(F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0))).alias(f"w{k}") for k in range(1, CONTEXT)))
+    rows = docs.select(_words(F.col("text")).alias("w")).select(F.inline(shifted(F.col("w")))).toDF(*(f"w{k}" for k in range(CONTEXT))).join(heads, "w0")
+    runs = F.array(*(F.concat_ws(" ", *(F.col(f"w{k}") for k in range(n + 1))) for n in range(CONTEXT)))
+    # A text's last words begin no longer runs.
+    whole = F.array(*(F.col(f"w{n}").isNotNull() for n in range(CONTEXT)))
+    every = rows.select(F.explode(F.filter(F.zip_with(runs, whole, lambda r, x: F.when(x, r)), lambda r: r.isNotNull())).alias("run"))
+    open_ended = docs.where(F.col("text").rlike(f"[^{SPACE}]")).select(F.lit(" ").alias("run"))
+    counted = every.join(sought.select("run").distinct(), "run").unionByName(open_ended).groupBy("run").agg(F.count("*").alias("total"))
+    totals = sought.join(counted, "run").select("pattern", "total")
     edges = words.join(patterns, "pattern").where("not covered or seed_kind = kind").groupBy("pattern", "kind", "instance").agg(F.max(F.col("covered")).alias("seed"), F.count("*").alias("n"))
     scores, conf = graph_scores(edges, cut(totals, "totals"))
     good = conf.where(F.col("conf") >= CONFIDENT).join(edges.where("not seed").select("pattern", "kind", "instance"), ["instance", "kind"]).join(scores.where(F.col("score") >= CONFIDENT), ["pattern", "kind"])
