@@ -68,7 +68,8 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     # Small radii find little, so all segments go at once; from there on one at a time, as each costs more.
     turns = [(r, list(range(segments))) for r in range(3)] + [(r, [i]) for r in range(3, WIDTH + 1) for i in range(segments)]
     for r, part in turns:
-        masks = F.expr(f"filter(sequence(0L, {(1 << WIDTH) - 1}L), m -> bit_count(m) = {r})")
+        # A constant, so that it is made once and not for each query.
+        masks = F.split(F.lit(",".join(str(m) for m in range(1 << WIDTH) if m.bit_count() == r)), ",").cast("array<bigint>")
         # Queries are dealt out before each makes its keys; neither side of the join is broadcast, as both grow with the tables.
         probes = todo.repartition(ways, "q").withColumn("s", keys(part)).withColumn("mask", F.explode(masks))
         probes = probes.select("q", *(F.col(n).alias(f"q_{n}") for n in names), "bound", F.col("s.seg").alias("at"), F.col("s.key").bitwiseXOR(F.col("mask")).alias("probe")).hint("merge")

@@ -21,8 +21,10 @@ from .common import cut, drop_cut, n_words
 SHARE, LIMIT, WEIGHTS = 1.5, 2, (5, 2, 1)
 #: Relative error of a source's words at which Newton iterations end, and most of them.
 CLOSE, ROUNDS = 1e-6, 60
-#: Parts by hash into which the documents of one source and size are dealt.
-PARTS = 64
+#: Least number of parts by hash into which the documents of one source and size are dealt, and documents for each part more.
+PARTS, PART = 64, 200_000
+#: Digits to which a lambda is rounded, so that sums in another order give the same rates.
+DIGITS = 9
 
 
 def source_targets(sizes: DataFrame, share: float = SHARE, limit: int = LIMIT, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -76,7 +78,7 @@ def dual_rates(histogram: DataFrame, targets: DataFrame, limit: int = LIMIT) ->
         state = new.drop("error")
         if worst is None or worst <= CLOSE:
             break
-    return state.select("source", "source_size", "target", "mean", F.when(~F.col("full"), F.col("tilt")).alias("tilt"))
+    return state.select("source", "source_size", "target", "mean", F.when(~F.col("full"), F.round("tilt", DIGITS)).alias("tilt"))
 
 
 def _rounded(limit: int) -> Column:
@@ -101,7 +103,9 @@ def mix_sources(docs: DataFrame, share: float = SHARE, limit: int = LIMIT, weigh
     """
     kept = [F.struct(*docs.columns).alias("_row")] if keep else []
     docs = docs.select(*kept, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
-    docs = cut(docs.withColumn("hash", F.xxhash64("doc_id")).withColumn("part", F.pmod("hash", F.lit(PARTS)).cast("int")), "sizes")
+    docs = cut(docs.withColumn("hash", F.xxhash64("doc_id", "size")), "sizes")
+    # Were all documents of one source and size, a part would still have no more than about ``PART`` of them.
+    docs = docs.withColumn("part", F.pmod("hash", F.lit(PARTS + docs.count() // PART)).cast("int"))
     parts = cut(docs.groupBy("source", "size", "part").agg(F.count("*").alias("n")), "parts")
     histogram = cut(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "histogram")
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
