@@ -97,13 +97,15 @@ def mix_sources(docs: DataFrame, share: float = SHARE, limit: int = LIMIT, weigh
     """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, rate, copies, taken.
 
     A null or wordless text has size 0, rate 1 and one copy, which takes no words. A null source is a source,
-    the last. Rows repeated under one doc_id share a hash and are told apart by size alone, so their
+    the last. Rows repeated under one doc_id share a hash and are told apart by size and place alone, so their
     copies may fall on any of them. Other columns are ignored, or with ``keep`` passed on in a struct _row. An empty table gives an
     empty table.
     """
     kept = [F.struct(*docs.columns).alias("_row")] if keep else []
     docs = docs.select(*kept, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
-    docs = cut(docs.withColumn("hash", F.xxhash64("doc_id", "size")), "sizes")
+    docs = cut(docs.withColumn("hash", F.xxhash64("doc_id", "size")).withColumn("id", F.monotonically_increasing_id()), "sizes")
+    rows = docs.select("id", "_row") if keep else None
+    docs = docs.select("id", "doc_id", "source", "size", "hash")
     # Were all documents of one source and size, a part would still have no more than about ``PART`` of them.
     docs = docs.withColumn("part", F.pmod("hash", F.lit(PARTS + docs.count() // PART)).cast("int"))
     parts = cut(docs.groupBy("source", "size", "part").agg(F.count("*").alias("n")), "parts")
@@ -125,7 +127,9 @@ def mix_sources(docs: DataFrame, share: float = SHARE, limit: int = LIMIT, weigh
     mine = whole(F.col("copies"), upto, F.col("_n")) - whole(F.col("copies"), upto - F.col("n"), F.col("_n"))
     share_of = share_of.withColumn("mine", mine.cast("long")).select(F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("part").alias("_part"), F.col("n").alias("_n"), "mine", "source_size", "target", "rate")
     share_of = cut(share_of, "shares")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("hash", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("hash", "doc_id", "id"))
     dealt = docs.withColumn("rank", rank).join(share_of, _same(F.col("source"), F.col("_s")) & (F.col("size") == F.col("_size")) & (F.col("part") == F.col("_part")))
     copies = (whole(F.col("mine"), F.col("rank"), F.col("_n")) - whole(F.col("mine"), F.col("rank") - 1, F.col("_n"))).cast("long")
-    return dealt.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["_row"] if keep else []))
+    dealt = dealt.select("id", "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    # All of the above moves narrow rows; what is passed on meets its copies once.
+    return (dealt.join(rows, "id") if keep else dealt).drop("id")
