@@ -33,7 +33,7 @@ PLACES, WORD_RIDGE = 32, 1.0
 #: Scores at which shares are compared for the prior, least share of positives above a score that counts, standard errors allowed for.
 BINS, LEAST, ERRORS = 400, 0.2, 1.0
 #: Bytes of text whose statistics are taken at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _CLASSES = np.zeros(256, dtype=np.int64)
 _CLASSES[[*range(97, 123)]] = 1
