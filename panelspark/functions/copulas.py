@@ -89,13 +89,13 @@ def pseudo_observations(series: DataFrame) -> DataFrame:
     return series.select("asset", "t", F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), u)).alias("u"))
 
 
-def empirical_tail_concentration(pairs: DataFrame, quantiles: list[float]) -> DataFrame:
-    """(q, concentration) of pairs (u, v): P(V <= q | U <= q) up to one half, P(V >= q | U >= q) above; 0 without mass."""
+def empirical_tail_concentration(pairs: DataFrame, quantiles: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, q, concentration) of pairs (u, v): P(V <= q | U <= q) up to one half, P(V >= q | U >= q) above; 0 without mass."""
     q = F.explode(F.array(*map(F.lit, quantiles)))
-    rows = pairs.select("u", "v", q.alias("q"))
+    rows = pairs.select(*keys, "u", "v", q.alias("q"))
     in_u = F.when(F.col("q") <= 0.5, F.col("u") <= F.col("q")).otherwise(F.col("u") >= F.col("q"))
     in_v = F.when(F.col("q") <= 0.5, F.col("v") <= F.col("q")).otherwise(F.col("v") >= F.col("q"))
-    return rows.groupBy("q").agg(F.coalesce(F.try_divide(F.count_if(in_u & in_v), F.count_if(in_u)), F.lit(0.0)).alias("concentration"))
+    return rows.groupBy(*keys, "q").agg(F.coalesce(F.try_divide(F.count_if(in_u & in_v), F.count_if(in_u)), F.lit(0.0)).alias("concentration"))
 
 
 def opinion_pool(experts: DataFrame, shares: dict[str, float], linear: bool = True) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Assets in a block of a tile.
+WIDE = 64
+
+
 def by_asset() -> WindowSpec:
     return Window.partitionBy("asset")
 
@@ -44,13 +50,72 @@ def spearman_distance(series: DataFrame) -> DataFrame:
     return pearson_distance(midranks(series, ["asset"]))
 
 
+def tiled(series: DataFrame, compute) -> DataFrame:
+    """(asset_i, asset_j, v) for every two assets, both ways, by ``compute(x, y, same)`` on blocks of assets.
+
+    x and y are matrices (assets of a block, dates) on shared dates, NaN where a return is missing. A tile holds two
+    blocks of at most about ``WIDE`` assets, so each asset travels once for every ``WIDE`` others.
+    """
+    date = F.col("t").cast("timestamp").cast("long")
+    rows = series.groupBy("asset").agg(F.collect_list(F.struct(date.alias("t"), F.col("r"))).alias("s"))
+    blocks = rows.count() // WIDE + 1
+    at = F.pmod(F.xxhash64("asset"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("at", at).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("asset", "s", "at", F.least("at", "to").alias("a"), F.greatest("at", "to").alias("b"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("asset")
+        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        dates = np.unique(np.concatenate([[x["t"] for x in s] for s in pdf["s"]]))
+        full = np.full((len(pdf), len(dates)), np.nan)
+        for k, s in enumerate(pdf["s"]):
+            full[k, np.searchsorted(dates, [x["t"] for x in s])] = [np.nan if x["r"] is None else x["r"] for x in s]
+        names, block = pdf["asset"].to_numpy(), pdf["at"].to_numpy()
+        i, j = np.flatnonzero(block == a), np.flatnonzero(block == b)
+        v = compute(full[i], full[j])
+        out = pd.DataFrame({"asset_i": np.repeat(names[i], len(j)), "asset_j": np.tile(names[j], len(i)), "v": v.ravel()})
+        return out if a == b else pd.concat([out, out.rename(columns={"asset_i": "asset_j", "asset_j": "asset_i"})])
+
+    return dealt.groupBy("a", "b").applyInPandas(run, "asset_i string, asset_j string, v double").withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+
+
+def inversions(y: np.ndarray) -> int:
+    """Pairs of places whose later value is smaller, by merging sorted halves of doubling width."""
+    n = len(y)
+    _, rank = np.unique(y, return_inverse=True)
+    size = 1 << max(0, n - 1).bit_length()
+    x = np.r_[rank, np.full(size - n, n)].astype(np.int64)
+    total, width = 0, 1
+    while width < size:
+        halves = x.reshape(-1, 2, width)
+        block = np.arange(len(halves))[:, None] * (n + 2)
+        left = (halves[:, 0] + block).ravel()
+        right = (halves[:, 1] + block).ravel()
+        upto = np.searchsorted(left, right, side="right") - np.repeat(np.arange(len(halves)) * width, width)
+        total += int((width - upto).sum())
+        x, width = np.sort(halves.reshape(len(halves), -1), axis=1).ravel(), width * 2
+    return total
+
+
+def _tied(*columns: np.ndarray) -> int:
+    _, c = np.unique(np.stack(columns), axis=1, return_counts=True)
+    return int((c * (c - 1) // 2).sum())
+
+
+def kendall_tau(x: np.ndarray, y: np.ndarray) -> float:
+    """tau-b in n log n: pairs less ties less twice the inversions of y in the order of x."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    x, y = x[both], y[both]
+    n = len(x) * (len(x) - 1) // 2
+    tx, ty, txy = _tied(x), _tied(y), _tied(x, y)
+    scale = np.sqrt(float(n - tx) * float(n - ty))
+    return (n - tx - ty + txy - 2 * inversions(y[np.lexsort((y, x))])) / scale if scale else np.nan
+
+
 def kendall_distance(series: DataFrame) -> DataFrame:
-    """From tau-b by concordance of every two dates: quadratic in dates, whose number is a panel's length."""
-    one = pairs(series, "r").select("asset_i", "asset_j", "t", "r_i", "r_j")
-    two = one.select("asset_i", "asset_j", F.col("t").alias("u"), F.col("r_i").alias("s_i"), F.col("r_j").alias("s_j"))
-    a, b = F.signum(F.col("r_i") - F.col("s_i")), F.signum(F.col("r_j") - F.col("s_j"))
-    both = one.join(two, ["asset_i", "asset_j"]).where("t < u").groupBy("asset_i", "asset_j").agg((F.sum(a * b) / F.sqrt(F.sum(a * a) * F.sum(b * b))).alias("v"))
-    return both.withColumn("v", to_distance(F.col("v")))
+    """From tau-b of every two assets over the dates that both have."""
+    taus = tiled(series, lambda x, y: np.array([[kendall_tau(p, q) for q in y] for p in x]))
+    return taus.withColumn("v", to_distance(F.col("v")))
 
 
 def gerber(series: DataFrame, threshold: float = 0.5, psd: bool = True) -> DataFrame:
@@ -91,11 +156,45 @@ def ew_variance(series: DataFrame, half_life: float) -> DataFrame:
 def ew_covariance(series: DataFrame, half_life: float) -> DataFrame:
     """Per pair over dates that have both, corrected by each asset's own number of observations."""
     lam = decay(half_life)
-    s = series.withColumn("n", F.count("*").over(by_asset()).cast("double"))
-    p = pairs(s, "r", "n")
-    p = p.withColumn("w", (1 - lam) * F.pow(F.lit(lam), _age(["asset_i", "asset_j"])))
-    bias = F.sqrt((1 - F.pow(F.lit(lam), F.first("n_i"))) * (1 - F.pow(F.lit(lam), F.first("n_j"))))
-    return p.groupBy("asset_i", "asset_j").agg((F.sum(F.col("w") * F.col("r_i") * F.col("r_j")) / bias).alias("v"))
+
+    def compute(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        known_x, known_y = ~np.isnan(x), ~np.isnan(y)
+        fx, fy = np.nan_to_num(x), np.nan_to_num(y)
+        root = lambda known: np.sqrt(1 - lam ** known.sum(axis=1))
+        out = np.empty((len(x), len(y)))
+        for k in range(len(x)):
+            both = known_x[k] & known_y
+            age = np.cumsum(both[:, ::-1], axis=1)[:, ::-1] - 1  # dates of both that came later
+            out[k] = np.where(both, (1 - lam) * lam**age * fx[k] * fy, 0.0).sum(axis=1)
+        return out / np.outer(root(known_x), root(known_y))
+
+    return tiled(series, compute)
+
+
+def shrunk_covariance(series: DataFrame, method: str = "ledoit_wolf", share: float = 0.1) -> DataFrame:
+    """The biased covariance drawn towards its mean variance times the identity, by the share of Ledoit and Wolf, of the oracle approximation, or a ``fixed`` one.
+
+    Every asset needs every date. The share follows from sums: of the matrix's squares, its trace, and the squared
+    squared norms of the dates.
+    """
+    centred = series.withColumn("x", F.col("r") - F.avg("r").over(by_asset()))
+    s = pairs(centred, "x").groupBy("asset_i", "asset_j").agg(F.avg(F.col("x_i") * F.col("x_j")).alias("v"))
+    own = F.col("asset_i") == F.col("asset_j")
+    norm = s.agg(F.sum(F.col("v") * F.col("v")).alias("d"), F.sum(F.when(own, F.col("v"))).alias("trace"), F.count_if(own).alias("p")).first()
+    d, trace, p = norm["d"], norm["trace"], norm["p"]
+    if not p:
+        return s
+    mu = trace / p
+    if method == "ledoit_wolf":
+        dates = centred.groupBy("t").agg(F.sum(F.col("x") * F.col("x")).alias("q")).agg(F.count("*").alias("n"), F.sum(F.col("q") * F.col("q")).alias("q")).first()
+        beta, delta = (dates["q"] / dates["n"] - d) / (p * dates["n"]), (d - p * mu * mu) / p
+        share = min(beta, delta) / delta if min(beta, delta) else 0.0
+    elif method == "oracle_approximating":
+        n = series.select("t").distinct().count()
+        alpha = d / p**2
+        below = (n + 1) * (alpha - mu * mu / p)
+        share = min((alpha + mu * mu) / below, 1.0) if below else 1.0
+    return s.withColumn("v", (1 - share) * F.col("v") + F.when(own, share * mu).otherwise(0.0))
 
 
 def equilibrium_mean(series: DataFrame, risk_aversion: float = 1.0) -> DataFrame:

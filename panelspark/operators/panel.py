@@ -58,3 +58,8 @@ def indexed(panel: DataFrame) -> DataFrame:
 def tail(panel: DataFrame, n: int) -> DataFrame:
     """The last n dates."""
     return panel.join(panel.select("t").distinct().orderBy(F.desc("t")).limit(n), "t", "left_semi")
+
+
+def join_factors(prices: DataFrame, factors: DataFrame, how: str = "full") -> DataFrame:
+    """(t, asset, price, factor): every price with its date's factor (t, factor); ``full`` keeps dates that one side lacks."""
+    return prices.select("t", "asset", "price").join(factors.select("t", "factor"), "t", how)

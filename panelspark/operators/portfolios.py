@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .measures import measure
 
 
@@ -55,15 +60,18 @@ def effective_assets(weights: DataFrame) -> DataFrame:
 
 
 def contribution(series: DataFrame, weights: DataFrame, name: str, step: float = 1e-5) -> DataFrame:
-    """weight * (measure(w + h) - measure(w - h)) / 2h per asset by one aggregation over all shifted portfolios."""
+    """weight * (measure(w + h) - measure(w - h)) / 2h per asset.
+
+    Moving one weight by h moves the portfolio's return by h times the asset's, so a portfolio's own returns and
+    those of its assets are all that is needed: two rows per asset and date, whatever the width.
+    """
     live = weights.where("weight <> 0")
-    shifts = live.select("portfolio_id", F.col("asset").alias("moved"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"))
-    moved = shifts.join(live, "portfolio_id").withColumn("weight", F.col("weight") + F.when(F.col("asset") == F.col("moved"), F.col("side") * step).otherwise(0.0))
-    moved = moved.withColumn("portfolio_id", F.to_json(F.struct("portfolio_id", "moved", "side")))
-    values = measure(portfolio_returns(series, moved.select("portfolio_id", "asset", "weight")), [name], ["portfolio_id"])
-    values = values.select(F.from_json("portfolio_id", "portfolio_id string, moved string, side int").alias("k"), name).select("k.*", name)
-    slope = F.sum(F.col("side") * F.col(name)) / (2 * step)
-    slopes = values.groupBy("portfolio_id", F.col("moved").alias("asset")).agg(slope.alias("slope"))
+    base = portfolio_returns(series, weights).withColumnRenamed("r", "whole")
+    each = series.join(live.select("portfolio_id", "asset"), "asset").join(base, ["portfolio_id", "t"])
+    moved = each.select("portfolio_id", "asset", F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"), "t", "whole", "r")
+    moved = moved.select("portfolio_id", "asset", "side", "t", (F.col("whole") + F.col("side") * step * F.col("r")).alias("r"))
+    values = measure(moved, [name], ["portfolio_id", "asset", "side"])
+    slopes = values.groupBy("portfolio_id", "asset").agg((F.sum(F.col("side") * F.col(name)) / (2 * step)).alias("slope"))
     return live.join(slopes, ["portfolio_id", "asset"]).select("portfolio_id", "asset", (F.col("weight") * F.col("slope")).alias("contribution"))
 
 
@@ -104,30 +112,46 @@ def extremes(population: DataFrame, by: str) -> DataFrame:
     return population.agg(F.min_by("portfolio_id", by).alias("least"), F.max_by("portfolio_id", by).alias("most"), F.avg(by).alias("mean"), F.stddev_pop(by).alias("deviation"))
 
 
+def _undominated(values: np.ndarray) -> np.ndarray:
+    """Which rows no other beats: at least as good in every column, all to be raised, and better in one. NaN beats nothing and is not beaten."""
+    keep = np.ones(len(values), dtype=bool)
+    for a in range(0, len(values), 512):
+        x = values[a : a + 512, None, :]
+        keep[a : a + 512] = ~((values >= x).all(axis=2) & (values > x).any(axis=2)).any(axis=1)
+    return keep
+
+
 def first_front(population: DataFrame, higher: list[str], lower: list[str]) -> DataFrame:
-    """Portfolios that no other dominates: at least as good in every measure and better in one."""
-    a, b = population.alias("a"), population.alias("b")
-    pairs = [(F.col(f"b.{x}"), F.col(f"a.{x}")) for x in higher] + [(-F.col(f"b.{x}"), -F.col(f"a.{x}")) for x in lower]
-    weak, strict = F.lit(True), F.lit(False)
-    for x, y in pairs:
-        weak, strict = weak & (x >= y), strict | (x > y)
-    return a.join(b, weak & strict, "left_anti")
+    """Portfolios that no other dominates: at least as good in every measure and better in one.
+
+    Each partition keeps its own front, and fronts are merged in falling numbers of partitions: a portfolio that is dominated anywhere
+    is dominated by one of the front, so nothing that matters is lost, and no two populations are joined.
+    """
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            both = pdf if held is None else pd.concat([held, pdf])
+            values = np.concatenate([both[higher].to_numpy(float), -both[lower].to_numpy(float)], axis=1)
+            held = both[_undominated(values)]
+        if held is not None:
+            yield held
+
+    out = population.mapInPandas(local, population.schema)
+    for parts in (64, 8, 1):
+        out = out.repartition(parts).mapInPandas(local, population.schema)
+    return out
 
 
 def fronts(population: DataFrame, higher: list[str], lower: list[str], most: int | None = None) -> DataFrame:
-    """All Pareto fronts, from 0, peeled until nothing is left; the first ``most`` in one plan, where a caller asks for so many."""
-    left, out = population, None
-    k = 0
-    while most is None or k < most:
-        if most is None:
-            # Each front is computed once: plans do not grow with the number of fronts.
-            left = left.localCheckpoint()
-            if out is not None and left.isEmpty():
-                return out
-        front = first_front(left, higher, lower)
-        if most is None:
-            front = front.localCheckpoint()
-        out = front.withColumn("front", F.lit(k)) if out is None else out.unionByName(front.withColumn("front", F.lit(k)))
-        left = left.alias("l").join(front.select("portfolio_id").alias("f"), F.col("l.portfolio_id").eqNullSafe(F.col("f.portfolio_id")), "left_anti")
-        k += 1
+    """All Pareto fronts, from 0, peeled until nothing is left; a caller may ask for the first ``most`` only.
+
+    Each front and what it leaves is written once, so that plans do not grow with the number of fronts.
+    """
+    left, out, k = cut(population, "population"), None, 0
+    while out is None or (not left.isEmpty() and (most is None or k < most)):
+        front = cut(first_front(left, higher, lower).withColumn("front", F.lit(k)), "front")
+        out = front if out is None else out.unionByName(front)
+        beyond = left.alias("l").join(front.select("portfolio_id").alias("f"), F.col("l.portfolio_id").eqNullSafe(F.col("f.portfolio_id")), "left_anti")
+        left, k = cut(beyond, "population"), k + 1
     return out

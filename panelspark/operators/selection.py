@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import matrices, measures
+from . import matrices, measures, portfolios
 
 
 def keep_varying(series: DataFrame, threshold: float = 1e-8) -> DataFrame:
@@ -26,8 +26,20 @@ def keep_unexpired(series: DataFrame, expirations: DataFrame, days: int) -> Data
 
 
 def keep_extremes(series: DataFrame, by: str, k: int, highest: bool = True) -> DataFrame:
-    m = measures.measure(series, [by])
-    return m.orderBy(F.desc(by) if highest else F.asc(by), "asset").limit(k).select("asset")
+    """The k assets of highest (or lowest) measure or ratio, ties by name."""
+    m = measures.measure(series, [by]) if by in measures.MEASURES else measures.ratios(series, [by])
+    return m.orderBy(F.desc_nulls_last(by) if highest else F.asc_nulls_last(by), "asset").limit(k).select("asset")
+
+
+def keep_undominated(series: DataFrame, higher: list[str], lower: list[str], least: int | None = None) -> DataFrame:
+    """The assets of the first Pareto fronts, each whole, until they are at least ``least`` (by default the first alone)."""
+    m = measures.measure(series, [*higher, *lower]).withColumnRenamed("asset", "portfolio_id")
+    if least is None:
+        return portfolios.first_front(m, higher, lower).select(F.col("portfolio_id").alias("asset"))
+    ranked = portfolios.fronts(m, higher, lower)
+    before = F.coalesce(F.sum("c").over(Window.orderBy("front").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = ranked.groupBy("front").agg(F.count("*").alias("c")).withColumn("before", before).where(F.col("before") < least)
+    return ranked.join(wanted.select("front"), "front").select(F.col("portfolio_id").alias("asset"))
 
 
 def keep_uncorrelated(series: DataFrame, threshold: float = 0.95) -> list[str]:

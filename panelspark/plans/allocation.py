@@ -102,36 +102,70 @@ def maximum_diversification(cov: np.ndarray) -> np.ndarray:
 
 
 def linkage(distance: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Average-linkage merges (left, right, height, size) of a distance matrix; ties to the smallest indices."""
-    d = {(i, j): distance[i, j] for i in range(len(distance)) for j in range(i)}
-    size = dict.fromkeys(range(len(distance)), 1)
-    out, new = [], len(distance)
-    while len(size) > 1:
-        a, b = min(d, key=lambda p: (d[p], p[1], p[0]))
-        out.append((min(a, b), max(a, b), d[a, b], size[a] + size[b]))
-        for c in size:
-            if c not in (a, b):
-                x, y = d[max(a, c), min(a, c)], d[max(b, c), min(b, c)]
-                d[new, c] = (size[a] * x + size[b] * y) / (size[a] + size[b])
-        total = size.pop(a) + size.pop(b)
-        d = {p: v for p, v in d.items() if a not in p and b not in p}
-        size[new] = total
-        new += 1
+    """Ward merges (left, right, height, size) of a distance matrix; ties to the smallest indices."""
+    d, n = np.array(distance, dtype=float), len(distance)
+    np.fill_diagonal(d, np.inf)
+    name, size, out = np.arange(n), np.ones(n), []
+    live = np.ones(n, dtype=bool)
+    for k in range(n - 1):
+        a, b = np.unravel_index(int(np.argmin(d)), d.shape)
+        a, b = int(a), int(b)
+        height, total = d[a, b], size[a] + size[b]
+        left, right = sorted((int(name[a]), int(name[b])))
+        out.append((left, right, float(height), int(total)))
+        rest = live.copy()
+        rest[[a, b]] = False
+        c = size[rest]
+        d[a, rest] = np.sqrt(((size[a] + c) * d[a, rest] ** 2 + (size[b] + c) * d[b, rest] ** 2 - c * height**2) / (total + c))
+        d[rest, a] = d[a, rest]
+        d[b, :] = d[:, b] = np.inf
+        live[b], size[a], name[a] = False, total, n + k
     return out
 
 
-def leaf_order(merges: list[tuple[int, int, float, int]], n: int) -> list[int]:
-    parts = {i: [i] for i in range(n)}
+def leaf_order(merges: list[tuple[int, int, float, int]], distance: np.ndarray) -> list[int]:
+    """The order of leaves that a tree's merges allow with the least sum of distances between neighbours.
+
+    For every cluster and every pair of its leaves, one from either part, the cost of the best order that starts with
+    one and ends with the other; the orders are read back from the cheapest pair at the root.
+    """
+    n = len(distance)
+    if not merges:
+        return list(range(n))
+    leaves, cost = {i: [i] for i in range(n)}, {i: np.zeros((1, 1)) for i in range(n)}
+
+    def nearest(m: np.ndarray, links: np.ndarray) -> np.ndarray:
+        return np.array([(row[:, None] + links).min(axis=0) for row in m])
+
     for k, (a, b, _, _) in enumerate(merges):
-        parts[n + k] = parts[a] + parts[b]
-    return parts[n + len(merges) - 1] if merges else [0]
+        la, lb = leaves[a], leaves[b]
+        across = nearest(nearest(cost[a], distance[np.ix_(la, lb)]), cost[b])
+        full = np.full((len(la) + len(lb),) * 2, np.inf)
+        full[: len(la), len(la) :], full[len(la) :, : len(la)] = across, across.T
+        leaves[n + k], cost[n + k] = la + lb, full
+
+    def order(node: int, first: int, last: int) -> list[int]:
+        if node < n:
+            return [node]
+        a, b, _, _ = merges[node - n]
+        if first not in leaves[a]:
+            a, b = b, a
+        la, lb = leaves[a], leaves[b]
+        total = cost[a][la.index(first)][:, None] + distance[np.ix_(la, lb)] + cost[b][:, lb.index(last)][None, :]
+        i, j = np.unravel_index(int(np.argmin(total)), total.shape)
+        return order(a, first, la[i]) + order(b, lb[j], last)
+
+    root = n + len(merges) - 1
+    i, j = np.unravel_index(int(np.argmin(cost[root])), cost[root].shape)
+    return order(root, leaves[root][i], leaves[root][j])
 
 
 def hierarchical_risk_parity(cov: np.ndarray) -> np.ndarray:
-    """Recursive bisection of the leaf order; each half gets weight against its inverse-variance portfolio's risk."""
+    """Recursive bisection of the best leaf order of a Ward tree; each half gets weight against its inverse-variance portfolio's risk."""
     sd = np.sqrt(np.diag(cov))
-    corr = cov / np.outer(sd, sd)
-    order = leaf_order(linkage(np.sqrt(np.clip((1 - corr) / 2, 0, 1))), len(cov))
+    distance = np.sqrt(np.clip((1 - cov / np.outer(sd, sd)) / 2, 0, 1))
+    np.fill_diagonal(distance, 0)
+    order = leaf_order(linkage(distance), distance)
     w, todo = np.ones(len(cov)), [order]
     while todo:
         part = todo.pop()

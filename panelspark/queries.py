@@ -75,8 +75,8 @@ register(
 )
 register(
     "factor_join_outer",
-    f"WITH {MONTHLY}, {BRANDS}, f AS (SELECT t, avg(price) AS factor FROM bx GROUP BY t), a AS (SELECT t, asset, price FROM px WHERE asset IN ('0', '1', '2')) SELECT {DAY}, asset, {q8('price')} AS price, {q8('factor')} AS factor FROM a FULL JOIN f USING (t)",
-    lambda s, d: panels.monthly(s, d).where(F.col("asset").isin("0", "1", "2")).select("t", "asset", "price").join(panels.brands(s, d).groupBy("t").agg(F.avg("price").alias("factor")), "t", "full"),
+    f"WITH {MONTHLY}, {BRANDS}, f AS (SELECT t, avg(price) AS factor FROM bx GROUP BY t), a AS (SELECT t, asset, price FROM px) SELECT {DAY}, asset, {q8('price')} AS price, {q8('factor')} AS factor FROM a FULL JOIN f USING (t)",
+    lambda s, d: pn.join_factors(panels.monthly(s, d), panels.brands(s, d).groupBy("t").agg(F.avg("price").alias("factor"))),
 )
 register("tail_window", f"WITH {RETURNS} SELECT {DAY}, asset, {q8('r')} AS r FROM ret WHERE ret.t IN (SELECT DISTINCT t FROM ret ORDER BY t DESC LIMIT 24)", lambda s, d: pn.tail(monthly_returns(s, d), 24))
 
@@ -280,8 +280,11 @@ _dom = "EXISTS (SELECT 1 FROM {b} b WHERE b.mean >= a.mean AND b.cvar <= a.cvar
 register("pop_front0", f"WITH {POPULATION_FRAME} SELECT {_P} FROM pop a WHERE NOT {_dom.format(b='pop')}", lambda s, d: pf.first_front(population(s, d), ["mean"], ["cvar"]))
 register(
     "pop_fronts",
-    f"WITH {POPULATION_FRAME}, f0 AS MATERIALIZED (SELECT * FROM pop a WHERE NOT {_dom.format(b='pop')}), l1 AS MATERIALIZED (SELECT * FROM pop WHERE portfolio_id NOT IN (SELECT portfolio_id FROM f0)), f1_ AS (SELECT * FROM l1 a WHERE NOT {_dom.format(b='l1')}) SELECT portfolio_id, CAST(0 AS INTEGER) AS front FROM f0 UNION ALL SELECT portfolio_id, 1 FROM f1_".replace("f0 AS MATERIALIZED", "z0 AS MATERIALIZED").replace("FROM f0 UNION", "FROM z0 UNION").replace("portfolio_id FROM f0)", "portfolio_id FROM z0)"),
-    lambda s, d: pf.fronts(population(s, d), ["mean"], ["cvar"], 2).select("portfolio_id", "front"),
+    # A portfolio's front is the length of the longest chain of portfolios above it, each dominating the next.
+    f"""WITH RECURSIVE {POPULATION_FRAME}, above AS MATERIALIZED (SELECT q.portfolio_id AS up, a.portfolio_id AS id FROM pop q, pop a WHERE q.mean >= a.mean AND q.cvar <= a.cvar AND (q.mean > a.mean OR q.cvar < a.cvar)),
+    chain AS (SELECT portfolio_id, 0 AS front FROM pop UNION SELECT above.id, chain.front + 1 FROM chain JOIN above ON chain.portfolio_id = above.up)
+    SELECT portfolio_id, CAST(max(front) AS INTEGER) AS front FROM chain GROUP BY 1""",
+    lambda s, d: pf.fronts(population(s, d), ["mean"], ["cvar"]).select("portfolio_id", "front"),
 )
 register("pop_filter_sort", f"WITH {POPULATION_FRAME} SELECT {_P}, CAST(row_number() OVER (ORDER BY cvar DESC, portfolio_id) AS INTEGER) AS place FROM pop WHERE portfolio_id IN ('1', '3', '5', '7')", lambda s, d: population(s, d).where(F.col("portfolio_id").isin("1", "3", "5", "7")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("cvar"), "portfolio_id"))))
 
@@ -378,12 +381,14 @@ from .streaming import exponential as ew  # noqa: E402
 
 PSEUDO = RETURNS + """,
 ps AS (SELECT asset, t, (rank() OVER (PARTITION BY asset ORDER BY r) + (count(*) OVER (PARTITION BY asset, r) - 1) / 2) / (count(*) OVER (PARTITION BY asset) + 1) AS u FROM ret),
-uv AS (SELECT a.t, a.u, b.u AS v FROM ps a JOIN ps b USING (t) WHERE a.asset = '0' AND b.asset = '1')"""
+uv AS (SELECT t, a.asset AS asset_i, b.asset AS asset_j, a.u, b.u AS v FROM ps a JOIN ps b USING (t) WHERE a.asset < b.asset)"""
 
 
 def uv(s: SparkSession, d: str) -> DataFrame:
+    """Pseudo-observations of every two assets."""
     ps = cp.pseudo_observations(monthly_returns(s, d))
-    return ps.where("asset = '0'").select("t", "u").join(ps.where("asset = '1'").select("t", F.col("u").alias("v")), "t")
+    left, right = ps.select("t", F.col("asset").alias("asset_i"), "u"), ps.select("t", F.col("asset").alias("asset_j"), F.col("u").alias("v"))
+    return left.join(right, "t").where("asset_i < asset_j")
 
 
 register("pseudo_obs", f"WITH {PSEUDO} SELECT asset, {DAY}, {q8('u')} AS u FROM ps", lambda s, d: cp.pseudo_observations(monthly_returns(s, d)))
@@ -401,11 +406,11 @@ _COPULAS = {
     "clayton_rotated_180": (both(lambda u, v: cp.rotated_cdf(cp.clayton_cdf, u, v, 180, 2.0)), "u + v - 1 + ((1 - u) ** -2.0 + (1 - v) ** -2.0 - 1) ** (-1 / 2.0::DOUBLE)"),
 }
 for _name, (_expr, _sql) in _COPULAS.items():
-    register(f"copula_cdf_{_name}", f"WITH {PSEUDO} SELECT {DAY}, {q8(_sql)} AS c FROM uv", lambda s, d, e=_expr: uv(s, d).select("t", e().alias("c")))
-register("copula_h_clayton", f"WITH {PSEUDO} SELECT {DAY}, {q8('(1 + v ** 2.0 * (u ** -2.0 - 1)) ** (-1.5::DOUBLE)')} AS h FROM uv", lambda s, d: uv(s, d).select("t", both(cp.clayton_h, 2.0)().alias("h")))
-register("copula_log_density_clayton", f"WITH {PSEUDO} SELECT {DAY}, {q8('ln(3.0::DOUBLE) - 3 * (ln(u) + ln(v)) - 2.5::DOUBLE * ln(u ** -2.0 + v ** -2.0 - 1)')} AS score FROM uv", lambda s, d: uv(s, d).select("t", both(cp.clayton_log_density, 2.0)().alias("score")))
+    register(f"copula_cdf_{_name}", f"WITH {PSEUDO} SELECT {DAY}, asset_i, asset_j, {q8(_sql)} AS c FROM uv", lambda s, d, e=_expr: uv(s, d).select("t", "asset_i", "asset_j", e().alias("c")))
+register("copula_h_clayton", f"WITH {PSEUDO} SELECT {DAY}, asset_i, asset_j, {q8('(1 + v ** 2.0 * (u ** -2.0 - 1)) ** (-1.5::DOUBLE)')} AS h FROM uv", lambda s, d: uv(s, d).select("t", "asset_i", "asset_j", both(cp.clayton_h, 2.0)().alias("h")))
+register("copula_log_density_clayton", f"WITH {PSEUDO} SELECT {DAY}, asset_i, asset_j, {q8('ln(3.0::DOUBLE) - 3 * (ln(u) + ln(v)) - 2.5::DOUBLE * ln(u ** -2.0 + v ** -2.0 - 1)')} AS score FROM uv", lambda s, d: uv(s, d).select("t", "asset_i", "asset_j", both(cp.clayton_log_density, 2.0)().alias("score")))
 _qs = [0.1, 0.25, 0.5, 0.75, 0.9]
-register("tail_concentration", f"WITH {PSEUDO}, q AS (SELECT unnest({_qs}::DOUBLE[]) AS q) SELECT q, {q8('coalesce(sum(CASE WHEN (q <= 0.5 AND u <= q AND v <= q) OR (q > 0.5 AND u >= q AND v >= q) THEN 1.0::DOUBLE ELSE 0 END) / nullif(sum(CASE WHEN (q <= 0.5 AND u <= q) OR (q > 0.5 AND u >= q) THEN 1.0::DOUBLE ELSE 0 END), 0), 0)')} AS concentration FROM uv, q GROUP BY q", lambda s, d: cp.empirical_tail_concentration(uv(s, d), _qs))
+register("tail_concentration", f"WITH {PSEUDO}, q AS (SELECT unnest({_qs}::DOUBLE[]) AS q) SELECT asset_i, asset_j, q, {q8('coalesce(sum(CASE WHEN (q <= 0.5 AND u <= q AND v <= q) OR (q > 0.5 AND u >= q AND v >= q) THEN 1.0::DOUBLE ELSE 0 END) / nullif(sum(CASE WHEN (q <= 0.5 AND u <= q) OR (q > 0.5 AND u >= q) THEN 1.0::DOUBLE ELSE 0 END), 0), 0)')} AS concentration FROM uv, q GROUP BY asset_i, asset_j, q", lambda s, d: cp.empirical_tail_concentration(uv(s, d), _qs, ("asset_i", "asset_j")))
 register(
     "mutual_info",
     f"""WITH {PAIRS}, z AS (SELECT asset_i, asset_j, least(7, floor((x - min(x) OVER k) / ((max(x) OVER k - min(x) OVER k) / 8))) AS a, least(7, floor((y - min(y) OVER k) / ((max(y) OVER k - min(y) OVER k) / 8))) AS b FROM pr WHERE asset_i < asset_j WINDOW k AS (PARTITION BY asset_i, asset_j)),
@@ -455,3 +460,5 @@ def frontier(s: SparkSession, d: str) -> DataFrame:
 
 
 register("efficient_frontier", None, frontier)
+
+from . import queries_estimators  # noqa: E402, F401
