@@ -118,6 +118,35 @@ def kendall_distance(series: DataFrame) -> DataFrame:
     return taus.withColumn("v", to_distance(F.col("v")))
 
 
+def covariance_distance(cov: DataFrame, absolute: bool = False, power: int = 1) -> DataFrame:
+    """The distance of the correlations that any covariance (asset_i, asset_j, v) implies."""
+    own = cov.where("asset_i = asset_j").select(F.col("asset_i").alias("asset"), F.sqrt("v").alias("sd"))
+    side = lambda s: own.select(F.col("asset").alias(f"asset_{s}"), F.col("sd").alias(f"sd_{s}"))
+    both = cov.join(side("i"), "asset_i").join(side("j"), "asset_j")
+    return both.select("asset_i", "asset_j", to_distance(F.try_divide("v", F.col("sd_i") * F.col("sd_j")), absolute, power).alias("v"))
+
+
+def _centred_distances(x: np.ndarray) -> np.ndarray:
+    d = np.abs(x[:, None] - x[None, :])
+    return d - d.mean(axis=0)[None, :] - d.mean(axis=1)[:, None] + d.mean()
+
+
+def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
+    """The root of the mean product of doubly centred distances over the root of both mean squares, on dates that both have; quadratic in a pair's dates."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    if both.sum() < 2:
+        return np.nan
+    a, b = _centred_distances(x[both]), _centred_distances(y[both])
+    scale = np.sqrt((a * a).sum() * (b * b).sum())
+    return float(np.sqrt(max(0.0, (a * b).sum()) / scale)) if scale else np.nan
+
+
+def distance_correlation_distance(series: DataFrame) -> DataFrame:
+    """sqrt(1 - distance correlation) of every two assets."""
+    found = tiled(series, lambda x, y: np.array([[distance_correlation(p, q) for q in y] for p in x]))
+    return found.withColumn("v", F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("v")))))
+
+
 def gerber(series: DataFrame, threshold: float = 0.5, psd: bool = True) -> DataFrame:
     """Co-movements beyond ``threshold`` deviations: concordant less discordant, over all but the doubly neutral, scaled to a covariance."""
     sd = F.stddev_pop("r").over(by_asset())

@@ -63,3 +63,22 @@ def tail(panel: DataFrame, n: int) -> DataFrame:
 def join_factors(prices: DataFrame, factors: DataFrame, how: str = "full") -> DataFrame:
     """(t, asset, price, factor): every price with its date's factor (t, factor); ``full`` keeps dates that one side lacks."""
     return prices.select("t", "asset", "price").join(factors.select("t", "factor"), "t", how)
+
+
+def blocks(indexed_panel: DataFrame, size: int) -> DataFrame:
+    """Rows of the last whole blocks of ``size`` dates, aligned to the panel's end, with ``block`` from 0."""
+    n = indexed_panel.agg(F.max("obs_idx")).first()[0]
+    offset = 0 if n is None else (n + 1) % size
+    return indexed_panel.where(F.col("obs_idx") >= offset).withColumn("block", F.floor((F.col("obs_idx") - offset) / size))
+
+
+def block_volatility(series: DataFrame, size: int) -> DataFrame:
+    """(asset, block, volatility): sample deviations of returns in blocks that do not overlap."""
+    return blocks(indexed(series), size).groupBy("asset", "block").agg(F.stddev_samp("r").alias("volatility"))
+
+
+def between(panel: DataFrame, first=None, last=None, assets: list[str] | None = None) -> DataFrame:
+    """The panel's rows from ``first`` to ``last`` (both included), of all or some assets; filters that reach the scan."""
+    out = panel if first is None else panel.where(F.col("t") >= F.lit(first))
+    out = out if last is None else out.where(F.col("t") <= F.lit(last))
+    return out if assets is None else out.where(F.col("asset").isin(list(assets)))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import entropic as en
+from .operators import forecasts as fo
 from .operators import matrices as mx
 from .operators import measures as ms
 from .operators import panel as pn
 from .operators import portfolios as pf
 from .operators import selection as se
+from .plans import priors as pr
 from .plans import risk
 from .plans import splits as sp
-from .queries import DAY, OOS, RETURNS, _months, monthly_returns, q8, register
+from .queries import BRANDS, DAY, OOS, RETURNS, _months, monthly_returns, q8, register
+from .sources import panels
 
 # Shrunk covariances -------------------------------------------------------------------------------
 
@@ -131,3 +136,120 @@ def hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("hrp_budget", "SELECT 1.0 + 0.0 AS invested, true AS positive", lambda s, d: hierarchy(s, d).agg(F.round(F.sum("weight"), 6).alias("invested"), (F.min("weight") > 0).alias("positive")))
+
+# Entropic risks: the same narrowing grid in SQL ----------------------------------------------------------
+
+
+def _entropic_sql(losses: str, name: str) -> str:
+    """One CTE per round; ``losses`` is a SELECT of (asset, loss)."""
+    grid = f"low + (high - low) * k / {en.POINTS - 1}.0::DOUBLE"
+    out = f"WITH {RETURNS}, lo AS ({losses}), g0 AS (SELECT asset, max(loss) AS top, ln(greatest(max(abs(loss)), 1e-12) / 100) AS low, ln(greatest(max(abs(loss)), 1e-12) * 1000) AS high FROM lo GROUP BY asset)"
+    for i in range(en.ROUNDS):
+        out += f""",
+    p{i} AS (SELECT asset, top, low, high, k, exp({grid}) AS z FROM g{i}, range({en.POINTS}) AS u(k)),
+    f{i} AS (SELECT p.asset, top, low, high, k, top + z * ln(avg(exp((loss - top) / z)) / (1 - 0.95::DOUBLE)) AS value FROM p{i} p JOIN lo ON lo.asset = p.asset GROUP BY p.asset, top, low, high, k, z),
+    b{i} AS (SELECT asset, top, any_value(low) AS low, any_value(high) AS high, min(value) AS value, arg_min(k, value) AS k FROM f{i} GROUP BY asset, top),
+    g{i + 1} AS MATERIALIZED (SELECT asset, top, low + (high - low) / {en.POINTS - 1} * greatest(k - 1, 0) AS low, low + (high - low) / {en.POINTS - 1} * least(k + 1, {en.POINTS - 1}) AS high, value FROM b{i})"""
+    return out + f" SELECT asset, round(value, 6) + 0.0 AS {name} FROM g{en.ROUNDS}"
+
+
+_FALLS = """SELECT asset, max(cum) OVER (PARTITION BY asset ORDER BY t ROWS UNBOUNDED PRECEDING) - cum AS loss
+    FROM (SELECT asset, t, sum(r) OVER (PARTITION BY asset ORDER BY t ROWS UNBOUNDED PRECEDING) AS cum FROM ret)"""
+register("m_evar", _entropic_sql("SELECT asset, -r AS loss FROM ret", "evar"), lambda s, d: en.evar(monthly_returns(s, d)).withColumn("evar", F.round("evar", 6)))
+register("m_edar", _entropic_sql(_FALLS, "edar"), lambda s, d: en.edar(monthly_returns(s, d)).withColumn("edar", F.round("edar", 6)))
+
+# Distances ----------------------------------------------------------------------------------------
+
+register(
+    "dist_covariance",
+    f"WITH {_S}, sd AS (SELECT asset_i AS asset, sqrt(v) AS sd FROM s WHERE asset_i = asset_j) SELECT asset_i, asset_j, {q8('sqrt(greatest(0, least(1, 0.5 * (1 - v / (a.sd * b.sd)))))')} AS v FROM s JOIN sd a ON a.asset = asset_i JOIN sd b ON b.asset = asset_j WHERE asset_i <> asset_j",
+    lambda s, d: mx.covariance_distance(mx.shrunk_covariance(monthly_returns(s, d), "fixed", 0.0)).where("asset_i <> asset_j"),
+)
+register(
+    "dist_distance_correlation",
+    f"""WITH {RETURNS}, w AS (SELECT asset, t, r FROM ret WHERE asset IN (SELECT asset FROM ret GROUP BY asset HAVING count(*) = (SELECT count(DISTINCT t) FROM ret))),
+    d AS (SELECT a.asset, a.t AS t, b.t AS u, abs(a.r - b.r) AS d FROM w a JOIN w b ON a.asset = b.asset),
+    c AS (SELECT asset, t, u, d - avg(d) OVER (PARTITION BY asset, t) - avg(d) OVER (PARTITION BY asset, u) + avg(d) OVER (PARTITION BY asset) AS x FROM d),
+    sq AS (SELECT asset, sum(x * x) AS s FROM c GROUP BY asset),
+    pr AS (SELECT a.asset AS asset_i, b.asset AS asset_j, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.t = b.t AND a.u = b.u WHERE a.asset < b.asset GROUP BY 1, 2)
+    SELECT asset_i, asset_j, {q8('sqrt(greatest(0, least(1, 1 - sqrt(greatest(0, pr.s) / sqrt(x.s * y.s)))))')} AS v FROM pr JOIN sq x ON x.asset = asset_i JOIN sq y ON y.asset = asset_j""",
+    lambda s, d: mx.distance_correlation_distance(whole(monthly_returns(s, d))).where("asset_i < asset_j"),
+)
+
+
+def whole(series: DataFrame) -> DataFrame:
+    """The series of assets with a return on every date."""
+    dates = series.select("t").distinct().count()
+    return series.join(series.groupBy("asset").agg(F.count("r").alias("n")).where(F.col("n") == dates).select("asset"), "asset")
+
+
+# Windows, forecasts, priors -------------------------------------------------------------------------
+
+register(
+    "block_volatility",
+    f"""WITH {RETURNS}, ix AS (SELECT *, dense_rank() OVER (ORDER BY t) - 1 AS i FROM ret), o AS (SELECT (max(i) + 1) % 12 AS o FROM ix)
+    SELECT asset, (i - o) // 12 AS block, {q8('stddev_samp(r)')} AS volatility FROM ix, o WHERE i >= o GROUP BY 1, 2""",
+    lambda s, d: pn.block_volatility(monthly_returns(s, d), 12),
+)
+
+
+def covariance_forecasts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(forecast, realised): the sample covariance of every training window, the returns of the test window after it."""
+    rows = sp.assign(pn.indexed(monthly_returns(spark, d)), sp.table(spark, sp.walk_forward(_months(spark, d), 6, 24, 1)))
+    part = lambda role: rows.where(F.col("role") == role).select("split_id", "t", "asset", "r")
+    side = lambda s: part("train").select("split_id", "t", F.col("asset").alias(f"asset_{s}"), F.col("r").alias(f"r_{s}"))
+    cov = side("i").join(side("j"), ["split_id", "t"]).groupBy("split_id", "asset_i", "asset_j").agg(F.covar_samp("r_i", "r_j").alias("v"))
+    return cov, part("test")
+
+
+_FC = f"""WITH {OOS}, te AS (SELECT split_id, t, asset, r FROM ix JOIN sp ON role = 'test' AND i >= lo AND i < hi), tn AS (SELECT split_id, t, asset, r FROM ix JOIN sp ON role = 'train' AND i >= lo AND i < hi),
+cv AS (SELECT split_id, a.asset AS asset_i, b.asset AS asset_j, covar_samp(a.r, b.r) AS v FROM tn a JOIN tn b USING (split_id, t) GROUP BY 1, 2, 3)"""
+register(
+    "diagonal_calibration",
+    f"""{_FC}, su AS (SELECT split_id, asset, sum(r) AS total, count(r) AS n FROM te GROUP BY 1, 2), q AS (SELECT split_id, avg(total * total / (n * greatest(v, 1e-12))) AS x FROM su JOIN cv USING (split_id) WHERE asset_i = asset AND asset_j = asset GROUP BY 1)
+    SELECT split_id, {q8('x')} AS diagonal_ratio, {q8('abs(x - 1)')} AS diagonal_loss FROM q""",
+    lambda s, d: fo.diagonal_calibration(*covariance_forecasts(s, d), ["split_id"]),
+)
+register(
+    "portfolio_calibration",
+    f"""{_FC}, iv AS (SELECT split_id, asset_i AS asset, (1 / sqrt(greatest(v, 1e-12))) / sum(1 / sqrt(greatest(v, 1e-12))) OVER (PARTITION BY split_id) AS w FROM cv WHERE asset_i = asset_j),
+    nn AS (SELECT split_id, a.asset AS asset_i, b.asset AS asset_j, count(*) AS n FROM te a JOIN te b USING (split_id, t) GROUP BY 1, 2, 3),
+    e AS (SELECT cv.split_id, greatest(sum(a.w * b.w * n * v), 1e-12) AS e FROM cv JOIN nn USING (split_id, asset_i, asset_j) JOIN iv a ON a.split_id = cv.split_id AND a.asset = asset_i JOIN iv b ON b.split_id = cv.split_id AND b.asset = asset_j GROUP BY 1),
+    g AS (SELECT split_id, sum(x * x) AS g FROM (SELECT te.split_id, te.t, sum(w * r) AS x FROM te JOIN iv ON iv.split_id = te.split_id AND iv.asset = te.asset GROUP BY 1, 2) GROUP BY 1)
+    SELECT split_id, {q8('g / e')} AS portfolio_ratio, {q8('abs(g / e - 1)')} AS portfolio_loss, {q8('ln(e) + g / e')} AS portfolio_qlike FROM g JOIN e USING (split_id)""",
+    lambda s, d: fo.portfolio_calibration(*covariance_forecasts(s, d), ["split_id"]),
+)
+register("mahalanobis_calibration", None, lambda s, d: fo.mahalanobis_calibration(*covariance_forecasts(s, d), ["split_id"]))
+
+
+def pooled(spark: SparkSession, d: str) -> DataFrame:
+    """The mean and second moment of the equal-weighted portfolio under probabilities that views on both ask for."""
+    r = monthly_returns(spark, d).groupBy("t").agg(F.avg("r").alias("x")).withColumn("x2", F.col("x") * F.col("x"))
+    base = r.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"), F.avg("x2").alias("m2"), F.count("*").alias("n")).first()
+    posterior = pr.entropy_pooling(r.withColumn("p", F.lit(1.0 / base["n"])), [("x", base["m"] + 0.1 * base["sd"]), ("x2", base["m2"])])
+    return posterior.agg(F.sum("q").alias("mass"), F.sum(F.col("q") * F.col("x")).alias("mean"), F.sum(F.col("q") * F.col("x2")).alias("second"))
+
+
+register(
+    "entropy_pooling_views",
+    f"WITH {RETURNS}, e AS (SELECT t, avg(r) AS x FROM ret GROUP BY t) SELECT 1.0::DOUBLE AS mass, {q8('avg(x) + 0.1 * stddev_pop(x)')} AS mean, {q8('avg(x * x)')} AS second FROM e",
+    pooled,
+)
+
+
+def market_loadings(spark: SparkSession, d: str) -> DataFrame:
+    """Loadings on the mean return of all brands, with the mean and variance that they imply for each asset."""
+    brand = pn.linear_returns(panels.brands(spark, d)).groupBy("t").agg(F.avg("r").alias("f")).withColumn("factor", F.lit("market"))
+    assets, _, b, alpha, residual = pr.factor_loadings(monthly_returns(spark, d), brand.select("t", "factor", "f"), intercept=True)
+    m = brand.agg(F.avg("f").alias("m"), F.var_samp("f").alias("v")).first()
+    mean, cov = pr.factor_model(b, alpha, residual, np.array([m["m"]]), np.array([[m["v"]]]))
+    return spark.createDataFrame([(a, float(x), float(u), float(cov[i, i])) for i, (a, x, u) in enumerate(zip(assets, b[:, 0], mean, strict=True))], "asset string, loading double, mean double, variance double")
+
+
+register(
+    "factor_model_market",
+    f"""WITH {RETURNS}, {BRANDS}, br AS (SELECT t, asset, price / lag(price) OVER (PARTITION BY asset ORDER BY t) - 1 AS r FROM bx), fa AS (SELECT t, avg(r) AS f FROM br WHERE r IS NOT NULL GROUP BY t),
+    mm AS (SELECT avg(f) AS m, var_samp(f) AS v FROM fa), re AS (SELECT asset, regr_slope(r, f) AS b, regr_intercept(r, f) AS a, (regr_syy(r, f) - regr_sxy(r, f) ** 2 / regr_sxx(r, f)) / (count(*) - 1) AS e FROM ret JOIN fa USING (t) GROUP BY asset)
+    SELECT asset, {q8('b')} AS loading, {q8('a + b * m')} AS mean, {q8('b * b * v + e')} AS variance FROM re, mm""",
+    market_loadings,
+)
