@@ -255,7 +255,8 @@ def _scored(w: np.ndarray, centre: np.ndarray, scale: np.ndarray):
         for pdf in batches:
             if len(pdf):
                 f = ((expanded(_read(pdf["x"])) - centre) / scale) @ w
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(f, -40, 40)))}).astype({"doc_id": "Int64"})
+                # Rounded, as a product's last bits depend on the rows that share its batch.
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.round(1 / (1 + np.exp(-np.clip(f, -40, 40))), 12)}).astype({"doc_id": "Int64"})
 
     return run
 
