@@ -138,7 +138,7 @@ def first_front(population: DataFrame, higher: list[str], lower: list[str]) -> D
             yield held
 
     out = population.mapInPandas(local, population.schema)
-    for parts in (64, 8, 1):
+    for parts in (8, 1):
         out = out.repartition(parts).mapInPandas(local, population.schema)
     return out
 
