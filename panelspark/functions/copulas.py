@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .special import normal_distribution, normal_quantile
+
 #: Pseudo-observations stay this far from 0 and 1.
 EDGE = 1e-9
 
@@ -58,6 +60,39 @@ def joe_h(u: Column, v: Column, theta: float) -> Column:
     return _p(1 + a / b - a, 1 / theta - 1) * (1 - a)
 
 
+def gumbel_log_density(u: Column, v: Column, theta) -> Column:
+    x, y = -ln(u), -ln(v)
+    s = _p(x, theta) + _p(y, theta)
+    root = _p(s, 1 / theta)
+    return -root + x + y + (theta - 1) * (ln(x) + ln(y)) + (2 / theta - 2) * ln(s) + ln(1 + (theta - 1) / root)
+
+
+def joe_log_density(u: Column, v: Column, theta) -> Column:
+    a, b = _p(1 - u, theta), _p(1 - v, theta)
+    g = a + b - a * b
+    return (1 / theta - 2) * ln(g) + (theta - 1) * (ln(1 - u) + ln(1 - v)) + ln(theta - 1 + g)
+
+
+def gaussian_rho(tau: Column) -> Column:
+    """The correlation whose normal copula has this tau, away from 1."""
+    return F.greatest(F.lit(-0.999), F.least(F.lit(0.999), F.sin(F.pi() / 2 * tau)))
+
+
+def gaussian_h(u: Column, v: Column, rho) -> Column:
+    """Probability of U up to u given V = v."""
+    return normal_distribution((normal_quantile(u) - rho * normal_quantile(v)) / _p(F.lit(1.0) - rho * rho, 0.5))
+
+
+def gaussian_inverse_h(p: Column, v: Column, rho) -> Column:
+    return normal_distribution(normal_quantile(p) * _p(F.lit(1.0) - rho * rho, 0.5) + rho * normal_quantile(v))
+
+
+def gaussian_log_density(x: Column, y: Column, rho) -> Column:
+    """Of normal scores x and y: ``normal_quantile`` of u and v, so that several densities share them."""
+    rest = F.lit(1.0) - rho * rho
+    return -ln(rest) / 2 - (rho * rho * (x * x + y * y) - 2 * rho * x * y) / (2 * rest)
+
+
 def independent_cdf(u: Column, v: Column) -> Column:
     return u * v
 
@@ -73,6 +108,61 @@ def rotated_cdf(cdf, u: Column, v: Column, degrees: int, *theta: float) -> Colum
     return cdf(u, v, *theta)
 
 
+def rotated_log_density(density, u: Column, v: Column, degrees: int, *theta) -> Column:
+    """The density of a copula turned by 90, 180 or 270 degrees, as ``rotated_cdf`` turns it."""
+    return density(1 - u if degrees in (90, 180) else u, 1 - v if degrees in (180, 270) else v, *theta)
+
+
+def _bounded(x: Column, low: float, high: float) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+
+
+#: Families that are fitted by tau's size and turned by its sign: (theta of |tau|, log-density).
+ONE_SIDED = {
+    "clayton": (lambda tau: _bounded(2 * tau / (1 - tau), 1e-4, 50.0), clayton_log_density),
+    "gumbel": (lambda tau: _bounded(1 / (1 - tau), 1.0001, 80.0), gumbel_log_density),
+}
+
+
+def select_copula(pairs: DataFrame, taus: DataFrame, families: tuple[str, ...] = ("independent", "clayton", "gumbel", "gaussian")) -> DataFrame:
+    """(asset_i, asset_j, tau, family, degrees, theta, log_likelihood, aic): for each pair of ``pairs`` (asset_i, asset_j, u, v) the family and turn
+    with the least AIC, fitted by Kendall's tau of ``taus`` (asset_i, asset_j, tau).
+
+    One-sided families are turned by 0 or 180 degrees for a positive tau, 90 or 270 for a negative one. All candidates share one aggregation;
+    pairs without a tau go.
+    """
+    keys = ["asset_i", "asset_j"]
+    rows = pairs.join(taus.where("tau is not null"), keys)
+    size = F.least(F.abs("tau"), F.lit(0.999))
+    rising = F.col("tau") >= 0
+    if "gaussian" in families:
+        rows = rows.withColumn("x", normal_quantile(F.col("u"))).withColumn("y", normal_quantile(F.col("v")))
+    candidates, sums = [], []
+    for f in families:
+        if f == "independent":
+            candidates.append((f, F.lit(0), F.lit(None).cast("double"), F.lit(0.0), 0))
+        elif f == "gaussian":
+            sums.append(F.sum(gaussian_log_density(F.col("x"), F.col("y"), gaussian_rho(F.col("tau")))).alias(f))
+            candidates.append((f, F.lit(0), gaussian_rho(F.col("tau")), F.col(f), 1))
+        else:
+            theta, density = ONE_SIDED[f]
+            for k, (up, down) in enumerate(((0, 90), (180, 270))):
+                turned = lambda d: rotated_log_density(density, F.col("u"), F.col("v"), d, theta(size))  # noqa: B023, E731
+                sums.append(F.sum(F.when(rising, turned(up)).otherwise(turned(down))).alias(f"{f}{k}"))
+                candidates.append((f, F.when(rising, up).otherwise(down), theta(size), F.col(f"{f}{k}"), 1))
+    found = rows.groupBy(*keys, "tau").agg(F.count("*").alias("n"), *sums)
+    each = F.array(*(F.struct((2 * count - 2 * fit).alias("aic"), F.lit(name).alias("family"), degrees.cast("int").alias("degrees"), theta.alias("theta"), fit.alias("log_likelihood")) for name, degrees, theta, fit, count in candidates))
+    return found.select(*keys, "tau", F.array_min(each).alias("c")).select(*keys, "tau", "c.family", "c.degrees", "c.theta", "c.log_likelihood", "c.aic")
+
+
+def fit_normal(series: DataFrame) -> DataFrame:
+    """(asset, loc, scale, log_likelihood, aic, bic) of the normal distribution of greatest likelihood for each asset's r."""
+    g = series.groupBy("asset").agg(F.avg("r").alias("loc"), F.stddev_pop("r").alias("scale"), F.count("r").alias("n"))
+    fit = -F.col("n") / 2 * (F.log(2 * F.pi() * F.col("scale") * F.col("scale")) + 1)
+    g = g.withColumn("log_likelihood", fit)
+    return g.select("asset", "loc", "scale", "log_likelihood", (4 - 2 * F.col("log_likelihood")).alias("aic"), (2 * F.log(F.col("n")) - 2 * F.col("log_likelihood")).alias("bic"))
+
+
 def lower_tail_clayton(theta: float) -> float:
     return 2 ** (-1 / theta)
 

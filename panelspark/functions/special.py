@@ -36,6 +36,16 @@ def normal_ppf(p: np.ndarray) -> np.ndarray:
     return np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, x))
 
 
+def normal_distribution(x: Column) -> Column:
+    """``normal_cdf`` of a column, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def distribution(s: pd.Series) -> pd.Series:
+        return pd.Series(normal_cdf(s.to_numpy(dtype=float)))
+
+    return distribution(x)
+
+
 def normal_quantile(p: Column) -> Column:
     """``normal_ppf`` of a column, in Arrow batches."""
 

@@ -112,10 +112,13 @@ def kendall_tau(x: np.ndarray, y: np.ndarray) -> float:
     return (n - tx - ty + txy - 2 * inversions(y[np.lexsort((y, x))])) / scale if scale else np.nan
 
 
+def kendall(series: DataFrame) -> DataFrame:
+    """tau-b of every two assets over the dates that both have."""
+    return tiled(series, lambda x, y: np.array([[kendall_tau(p, q) for q in y] for p in x]))
+
+
 def kendall_distance(series: DataFrame) -> DataFrame:
-    """From tau-b of every two assets over the dates that both have."""
-    taus = tiled(series, lambda x, y: np.array([[kendall_tau(p, q) for q in y] for p in x]))
-    return taus.withColumn("v", to_distance(F.col("v")))
+    return kendall(series).withColumn("v", to_distance(F.col("v")))
 
 
 def covariance_distance(cov: DataFrame, absolute: bool = False, power: int = 1) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .allocation import OptimizationError, hierarchical_risk_parity, risk_budgeting
+from .clusters import equal_risk_contribution, nested
 
 RISKS = ("variance", "semi_variance", "mean_absolute_deviation", "first_lower_partial_moment", "cvar", "worst_realization", "max_drawdown", "average_drawdown", "cdar", "ulcer_index")
 
@@ -169,6 +170,8 @@ ALLOCATORS = {
     "inverse_volatility": lambda x: (1 / x.std(axis=0, ddof=1)) / (1 / x.std(axis=0, ddof=1)).sum(),
     "risk_parity": lambda x: risk_budgeting(np.atleast_2d(np.cov(x.T))),
     "hierarchical_risk_parity": lambda x: hierarchical_risk_parity(np.atleast_2d(np.cov(x.T))),
+    "hierarchical_equal_risk": equal_risk_contribution,
+    "nested_clusters": lambda x: nested(x, lambda v: mean_risk(v, "variance"), lambda v: risk_budgeting(np.atleast_2d(np.cov(v.T)))),
 } | {f"least_{r}": (lambda x, r=r: mean_risk(x, r)) for r in RISKS}
 
 

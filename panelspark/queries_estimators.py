@@ -13,10 +13,13 @@ from .operators import measures as ms
 from .operators import panel as pn
 from .operators import portfolios as pf
 from .operators import selection as se
+from .operators import spectra
+from .functions import copulas as cp
+from .plans import allocation as al
 from .plans import priors as pr
 from .plans import risk
 from .plans import splits as sp
-from .queries import BRANDS, DAY, OOS, RETURNS, _months, monthly_returns, q8, register
+from .queries import BRANDS, DAILY, DAY, OOS, PAIRS, PSEUDO, RETURNS, _months, monthly_returns, q8, register, uv
 from .sources import panels
 
 # Shrunk covariances -------------------------------------------------------------------------------
@@ -253,3 +256,132 @@ register(
     SELECT asset, {q8('b')} AS loading, {q8('a + b * m')} AS mean, {q8('b * b * v + e')} AS variance FROM re, mm""",
     market_loadings,
 )
+
+# Clusters, spectra -----------------------------------------------------------------------------------
+
+
+def cluster_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the weights of both allocators over clusters are whole and of one sign."""
+    w = allocated(spark, d, ["hierarchical_equal_risk", "nested_clusters"])
+    return w.groupBy("portfolio_id").agg(F.count("*").alias("assets"), F.round(F.sum("weight"), 6).alias("invested"), (F.min("weight") > -1e-9).alias("positive"))
+
+
+register("herc_weights", None, lambda s, d: allocated(s, d, ["hierarchical_equal_risk"]).select("asset", "weight"))
+register("nested_clusters_weights", None, lambda s, d: allocated(s, d, ["nested_clusters"]).select("asset", "weight"))
+register(
+    "cluster_budgets",
+    f"{_WHOLE} SELECT p AS portfolio_id, count(*) AS assets, 1.0::DOUBLE AS invested, true AS positive FROM a, (SELECT unnest(['hierarchical_equal_risk', 'nested_clusters']) AS p) GROUP BY p",
+    cluster_budgets,
+)
+
+
+def cleaned(spark: SparkSession, d: str, method: str) -> DataFrame:
+    """(asset_i, asset_j, v) of the covariance without noise or without its market."""
+    series = monthly_returns(spark, d)
+    assets, _, cov = al.collected(series)
+    if not assets:
+        return spark.createDataFrame([], "asset_i string, asset_j string, v double")
+    v = spectra.denoised(cov, series.select("t").distinct().count()) if method == "denoised" else spectra.detoned(cov)
+    return spark.createDataFrame([(a, b, float(v[i, j])) for i, a in enumerate(assets) for j, b in enumerate(assets)], "asset_i string, asset_j string, v double")
+
+
+register("cov_denoised", None, lambda s, d: cleaned(s, d, "denoised"))
+register("cov_detoned", None, lambda s, d: cleaned(s, d, "detoned"))
+register(
+    "cov_cleaned_variances",
+    f"WITH {RETURNS} SELECT method, asset, {q8('var_samp(r)')} AS variance FROM ret, (SELECT unnest(['denoised', 'detoned']) AS method) GROUP BY 1, 2",
+    lambda s, d: cleaned(s, d, "denoised").withColumn("method", F.lit("denoised")).unionByName(cleaned(s, d, "detoned").withColumn("method", F.lit("detoned"))).where("asset_i = asset_j").select("method", F.col("asset_i").alias("asset"), F.col("v").alias("variance")),
+)
+
+# Calendar and randomized splits, bootstrap ---------------------------------------------------------------
+
+
+def days(spark: SparkSession, d: str) -> DataFrame:
+    """(t, obs_idx) of the daily panel."""
+    return pn.indexed(panels.daily(spark, d).select("t").distinct())
+
+
+_DAYS = f"""WITH {DAILY}, d AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT t FROM px)), ends AS (SELECT CAST(min(t) AS TIMESTAMP) AS a, CAST(max(t) AS TIMESTAMP) AS z, count(*) AS n FROM d)"""
+register(
+    "wf_calendar_splits",
+    f"""{_DAYS}, b AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS k FROM (SELECT unnest(generate_series(date_trunc('quarter', a), z, INTERVAL 3 MONTH)) AS b, a FROM ends) WHERE b >= a),
+    x AS (SELECT k, min(i) AS idx FROM b JOIN d ON t >= b GROUP BY k),
+    w AS (SELECT k, idx, lead(idx, 4) OVER (ORDER BY k) AS s, lead(idx, 5) OVER (ORDER BY k) AS e FROM x)
+    SELECT CAST(k AS INTEGER) AS split_id, 'train' AS role, CAST(idx AS BIGINT) AS lo, CAST(s - 2 AS BIGINT) AS hi FROM w WHERE e IS NOT NULL UNION ALL SELECT CAST(k AS INTEGER), 'test', s, e FROM w WHERE e IS NOT NULL""",
+    lambda s, d: sp.calendar_walk_forward(days(s, d), 1, 4, "quarter", purge=2),
+)
+register(
+    "wf_calendar_lookback_splits",
+    f"""{_DAYS}, b AS (SELECT b + INTERVAL 4 DAY AS b FROM (SELECT unnest(generate_series(date_trunc('month', a - INTERVAL 4 DAY), z, INTERVAL 1 MONTH)) AS b, a FROM ends) WHERE b >= a - INTERVAL 4 DAY),
+    x AS (SELECT b, (SELECT max(i) FROM d WHERE t <= b) AS idx, (SELECT max(i) FROM d WHERE t <= b - INTERVAL 200 DAY) AS low FROM b WHERE b <= (SELECT z FROM ends)),
+    w AS (SELECT row_number() OVER (ORDER BY b) - 1 AS k, idx, low, lead(idx, 2) OVER (ORDER BY b) - 3 AS e FROM x WHERE idx IS NOT NULL AND low IS NOT NULL)
+    SELECT CAST(k // 2 AS INTEGER) AS split_id, 'train' AS role, CAST(low AS BIGINT) AS lo, CAST(idx AS BIGINT) AS hi FROM w WHERE k % 2 = 0 UNION ALL SELECT CAST(k // 2 AS INTEGER), 'test', idx, coalesce(e, n) FROM w, ends WHERE k % 2 = 0""",
+    lambda s, d: sp.calendar_walk_forward(days(s, d), 2, "200 DAYS", "month", offset="4 DAYS", previous=True, purge=3, reduce_test=True),
+)
+
+
+def randomized(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-sample returns of inverse-volatility portfolios over random subsets of assets and random runs of dates."""
+    series = pn.indexed(monthly_returns(spark, d))
+    assets = sorted(r["asset"] for r in series.select("asset").distinct().collect())
+    ranges, of, members = sp.multiple_randomized(_months(spark, d), assets, 8, 5, 6, 24, 1, 48)
+    held = spark.createDataFrame(of, "split_id int, path_id int").join(spark.createDataFrame(members, "path_id int, asset string"), "path_id")
+    rows = sp.assign(series, sp.table(spark, ranges)).join(held, ["split_id", "asset"])
+    vol = rows.where("role = 'train'").groupBy("split_id", "asset").agg((1 / F.stddev_samp("r")).alias("v"))
+    return rows.where("role = 'test'").join(vol, ["split_id", "asset"]).groupBy("path_id", "split_id", "t").agg(F.try_divide(F.sum(F.col("v") * F.col("r")), F.sum("v")).alias("r"))
+
+
+register("mrcv_oos_inverse_volatility", None, randomized)
+register(
+    "mrcv_shape",
+    "SELECT CAST(p AS INTEGER) AS path_id, 5 AS assets, 3 AS splits, 24 AS train, 6 AS test FROM range(8) AS u(p)",
+    lambda s, d: mrcv_shape(s, d),
+)
+
+
+def mrcv_shape(spark: SparkSession, d: str) -> DataFrame:
+    assets = sorted(r["asset"] for r in monthly_returns(spark, d).select("asset").distinct().collect())
+    ranges, of, members = sp.multiple_randomized(_months(spark, d), assets, 8, 5, 6, 24, 1, 48)
+    size = lambda role: F.max(F.when(F.col("role") == role, F.col("hi") - F.col("lo"))).cast("int").alias(role)
+    each = sp.table(spark, ranges).join(spark.createDataFrame(of, "split_id int, path_id int"), "split_id").groupBy("path_id").agg(F.countDistinct("split_id").cast("int").alias("splits"), size("train"), size("test"))
+    return each.join(spark.createDataFrame(members, "path_id int, asset string").groupBy("path_id").agg(F.countDistinct("asset").cast("int").alias("assets")), "path_id")
+
+
+register(
+    "bootstrap_stationary",
+    f"WITH {RETURNS} SELECT CAST(k AS INTEGER) AS sample_id, count(DISTINCT t) AS places, true AS known FROM ret, range(20) AS u(k) GROUP BY k",
+    lambda s, d: (lambda series: sp.stationary_bootstrap(pn.indexed(series), 20, 6.0).join(series.select("t", "asset", F.col("r").alias("own")), ["t", "asset"], "left").groupBy("sample_id").agg(F.countDistinct("place").alias("places"), F.every(F.coalesce(F.col("own") == F.col("r"), F.lit(False))).alias("known")))(monthly_returns(s, d)),
+)
+
+# Distributions ------------------------------------------------------------------------------------------
+
+_FIT = "-(count(*) / 2) * (ln(2 * pi() * var_pop(r)) + 1)"
+register(
+    "univariate_normal",
+    f"WITH {RETURNS} SELECT asset, {q8('avg(r)')} AS loc, {q8('stddev_pop(r)')} AS scale, {q8(_FIT)} AS log_likelihood, {q8(f'4 - 2 * ({_FIT})')} AS aic, {q8(f'2 * ln(count(*)) - 2 * ({_FIT})')} AS bic FROM ret GROUP BY asset",
+    lambda s, d: cp.fit_normal(monthly_returns(s, d)),
+)
+
+
+def taus(spark: SparkSession, d: str) -> DataFrame:
+    return mx.kendall(monthly_returns(spark, d)).where("asset_i < asset_j").withColumnRenamed("v", "tau")
+
+
+_TAU = "(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(sign(a.x - b.x) ** 2) * sum(sign(a.y - b.y) ** 2)))"
+_CLAYTON = "ln(1 + th) - (1 + th) * (ln({u}) + ln({v})) - (2 + 1 / th) * ln({u} ** -th + {v} ** -th - 1)"
+_GUMBEL = "-(((-ln({u})) ** th + (-ln({v})) ** th) ** (1 / th)) - ln({u}) - ln({v}) + (th - 1) * (ln(-ln({u})) + ln(-ln({v}))) + (2 / th - 2) * ln((-ln({u})) ** th + (-ln({v})) ** th) + ln(1 + (th - 1) / (((-ln({u})) ** th + (-ln({v})) ** th) ** (1 / th)))"
+_TURNS = {0: ("u", "v"), 90: ("(1 - u)", "v"), 180: ("(1 - u)", "(1 - v)"), 270: ("u", "(1 - v)")}
+_turned = lambda sql: "CASE deg " + " ".join(f"WHEN {g} THEN {sql.format(u=a, v=b)}" for g, (a, b) in _TURNS.items()) + " END"
+register(
+    "copula_selection",
+    f"""WITH {PSEUDO}, {PAIRS[len(RETURNS) + 2:]}, ta AS (SELECT a.asset_i, a.asset_j, {_TAU} AS tau FROM pr a JOIN pr b ON a.asset_i = b.asset_i AND a.asset_j = b.asset_j AND a.t < b.t WHERE a.asset_i < a.asset_j GROUP BY 1, 2),
+    ca AS (SELECT asset_i, asset_j, tau, 'clayton' AS family, CASE WHEN tau >= 0 THEN g ELSE g + 90 END AS deg, least(50.0, greatest(0.0001, 2 * abs(tau) / (1 - abs(tau)))) AS th FROM ta, (SELECT unnest([0, 180]) AS g)
+           UNION ALL SELECT asset_i, asset_j, tau, 'gumbel', CASE WHEN tau >= 0 THEN g ELSE g + 90 END, least(80.0, greatest(1.0001, 1 / (1 - abs(tau)))) FROM ta, (SELECT unnest([0, 180]) AS g)),
+    ll AS (SELECT asset_i, asset_j, tau, family, deg, th, sum(CASE WHEN family = 'clayton' THEN {_turned(_CLAYTON)} ELSE {_turned(_GUMBEL)} END) AS ll FROM ca JOIN uv USING (asset_i, asset_j) GROUP BY ALL),
+    c AS (SELECT asset_i, asset_j, tau, family, deg, th, ll, 2 - 2 * ll AS aic FROM ll UNION ALL SELECT asset_i, asset_j, tau, 'independent', 0, NULL, 0, 0 FROM ta),
+    k AS (SELECT *, row_number() OVER (PARTITION BY asset_i, asset_j ORDER BY aic, family, deg) AS k FROM c)
+    SELECT asset_i, asset_j, {q8('tau')} AS tau, family, CAST(deg AS INTEGER) AS degrees, {q8('th')} AS theta, {q8('ll')} AS log_likelihood, {q8('aic')} AS aic FROM k WHERE k = 1""",
+    lambda s, d: cp.select_copula(uv(s, d), taus(s, d), ("independent", "clayton", "gumbel")),
+)
+register("copula_selection_with_normal", None, lambda s, d: cp.select_copula(uv(s, d), taus(s, d)))
+register("copula_h_normal", None, lambda s, d: uv(s, d).select("t", "asset_i", "asset_j", cp.gaussian_h(F.col("u"), F.col("v"), 0.5).alias("h")))
