@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -108,3 +110,31 @@ def regression(data: DataFrame, y: str = "y") -> DataFrame:
     g = s.groupBy("t").agg(F.sum(w * dx * dx).alias("xx"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dy * dy).alias("yy"), F.first("_mx").alias("mx"), F.first("_my").alias("my"))
     slope = F.try_divide("xy", "xx")
     return g.select("t", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), F.try_divide(F.col("xy") * F.col("xy"), F.col("xx") * F.col("yy")).alias("r2"))
+
+
+def regression_on(data: DataFrame, features: list[str], y: str = "y") -> DataFrame:
+    """(t, intercept, b_<feature>..., r2): weighted least squares of ``y`` on several features per date.
+
+    Spark sums the products of each date; only those, a few numbers a date, are solved in Python. Features that are not independent get the shortest solution.
+    """
+    k = len(features)
+    rows = data.where(F.col(y).isNotNull() & (F.col("w") > 0))
+    for f in features:
+        rows = rows.where(F.col(f).isNotNull())
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)).over(at_date()) / F.sum("w").over(at_date()))
+    names = [*features, y]
+    rows = rows.select("t", "w", *(mean(c).alias(f"m{i}") for i, c in enumerate(names)), *(F.col(c).alias(f"x{i}") for i, c in enumerate(names)))
+    centred = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(k + 1)]
+    sums = rows.groupBy("t").agg(F.array(*(F.first(f"m{i}") for i in range(k + 1))).alias("m"), F.array(*(F.sum(F.col("w") * a * b) for a in centred for b in centred)).alias("s"))
+
+    def solve(parts):
+        for pdf in parts:
+            out = []
+            for t, m, s in zip(pdf["t"], pdf["m"], pdf["s"], strict=True):
+                s = np.asarray(s, dtype=float).reshape(k + 1, k + 1)
+                b = np.linalg.lstsq(s[:k, :k], s[:k, k], rcond=None)[0]
+                out.append((t, m[k] - b @ np.asarray(m[:k]), *b, b @ s[:k, k] / s[k, k] if s[k, k] else None))
+            yield pd.DataFrame(out, columns=["t", "intercept", *(f"b_{f}" for f in features), "r2"])
+
+    kind = dict(data.dtypes)["t"]
+    return sums.mapInPandas(solve, f"t {kind}, intercept double, " + ", ".join(f"`b_{f}` double" for f in features) + ", r2 double")

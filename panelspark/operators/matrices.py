@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .panel import blocks, indexed
+
 #: Assets in a block of a tile.
 WIDE = 64
 
@@ -229,6 +231,40 @@ def shrunk_covariance(series: DataFrame, method: str = "ledoit_wolf", share: flo
     return s.withColumn("v", (1 - share) * F.col("v") + F.when(own, share * mu).otherwise(0.0))
 
 
+def implied_volatility_forecast(series: DataFrame, vols: DataFrame, window: int = 20, factor: float = 252.0) -> DataFrame:
+    """(asset, vol): the next block's volatility from annual implied ones (t, asset, vol).
+
+    Per asset, the logarithm of a block's realised volatility is regressed on those of the block before it and of the implied volatility at
+    that block's end. Blocks hold ``window`` dates and end with the panel; an asset needs three.
+    """
+    vol = F.col("vol") / F.sqrt(F.lit(factor))
+    b = blocks(indexed(series.select("t", "asset", "r")), window).join(vols.select("t", "asset", "vol"), ["t", "asset"]).groupBy("asset", "block").agg(F.log(F.stddev_samp("r")).alias("rv"), F.log(F.max_by(vol, "t")).alias("iv"))
+    b = b.withColumn("y", F.lead("rv").over(by_asset().orderBy("block")))
+    known = F.col("y").isNotNull()
+    on = lambda c: F.when(known, F.col(c))
+    s = lambda x, y: F.covar_pop(on(x), on(y))
+    g = b.groupBy("asset").agg(s("iv", "iv").alias("ii"), s("rv", "rv").alias("rr"), s("iv", "rv").alias("ir"), s("iv", "y").alias("iy"), s("rv", "y").alias("ry"), F.avg(on("iv")).alias("mi"), F.avg(on("rv")).alias("mr"), F.avg("y").alias("my"), F.max_by("iv", "block").alias("i"), F.max_by("rv", "block").alias("r"), F.count("*").alias("n"))
+    below = F.col("ii") * F.col("rr") - F.col("ir") * F.col("ir")
+    bi = F.try_divide(F.col("iy") * F.col("rr") - F.col("ry") * F.col("ir"), below)
+    br = F.try_divide(F.col("ry") * F.col("ii") - F.col("iy") * F.col("ir"), below)
+    return g.where("n >= 3").select("asset", F.exp(F.col("my") + bi * (F.col("i") - F.col("mi")) + br * (F.col("r") - F.col("mr"))).alias("vol"))
+
+
+def with_volatilities(corr: DataFrame, vols: DataFrame) -> DataFrame:
+    """The covariance of correlations (asset_i, asset_j, v) and volatilities (asset, vol)."""
+    side = lambda s: vols.select(F.col("asset").alias(f"asset_{s}"), F.col("vol").alias(f"vol_{s}"))
+    return corr.join(side("i"), "asset_i").join(side("j"), "asset_j").select("asset_i", "asset_j", (F.col("v") * F.col("vol_i") * F.col("vol_j")).alias("v"))
+
+
+def implied_covariance(series: DataFrame, vols: DataFrame, window: int = 20, factor: float = 252.0, premium: float | None = None) -> DataFrame:
+    """Empirical correlations with forecast volatilities; with ``premium``, the last implied ones over it instead."""
+    if premium is not None:
+        found = vols.groupBy("asset").agg((F.max_by("vol", "t") / F.sqrt(F.lit(factor)) / premium).alias("vol"))
+    else:
+        found = implied_volatility_forecast(series, vols, window, factor)
+    return with_volatilities(correlation(series), found)
+
+
 def equilibrium_mean(series: DataFrame, risk_aversion: float = 1.0) -> DataFrame:
     """Risk aversion times covariance times equal weights."""
     return covariance(series).groupBy(F.col("asset_i").alias("asset")).agg((risk_aversion * F.avg("v")).alias("mean"))

@@ -170,3 +170,8 @@ def rolling(series: DataFrame, window: int, keys: list[str] | None = None, beta:
         (-F.get("_s", F.lit(i))).alias("value_at_risk"),
         F.when(full, run).alias("max_drawdown"),
     )
+
+
+def band(rolled: DataFrame, measure_name: str, shares: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """(t, p<percent>...): percentiles, over all series of a date, of a rolling measure."""
+    return rolled.where(F.col(measure_name).isNotNull()).groupBy("t").agg(*(F.percentile(measure_name, q).alias(f"p{round(100 * q)}") for q in shares))

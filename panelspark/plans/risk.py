@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .allocation import OptimizationError, hierarchical_risk_parity, risk_budgeting
+from .allocation import OptimizationError, hierarchical_risk_parity, maximum_diversification, risk_budgeting, schur_complementary
 from .clusters import equal_risk_contribution, nested
 
 RISKS = ("variance", "semi_variance", "mean_absolute_deviation", "first_lower_partial_moment", "cvar", "worst_realization", "max_drawdown", "average_drawdown", "cdar", "ulcer_index")
@@ -164,33 +164,44 @@ def mean_risk(
     return found[w] / found[k]
 
 
+def track(x: np.ndarray, benchmark: np.ndarray, risk: str = "variance", **options) -> np.ndarray:
+    """Weights of sum 1 whose returns differ from the benchmark's with the least ``risk``: least risk of the returns less the benchmark's."""
+    return mean_risk(x - np.asarray(benchmark, dtype=float)[:, None], risk, budget=1.0, **options)
+
+
 #: Allocators by name: weights from scenarios (dates, assets).
 ALLOCATORS = {
     "equal": lambda x: np.full(x.shape[1], 1 / x.shape[1]),
     "inverse_volatility": lambda x: (1 / x.std(axis=0, ddof=1)) / (1 / x.std(axis=0, ddof=1)).sum(),
     "risk_parity": lambda x: risk_budgeting(np.atleast_2d(np.cov(x.T))),
     "hierarchical_risk_parity": lambda x: hierarchical_risk_parity(np.atleast_2d(np.cov(x.T))),
+    "maximum_diversification": lambda x: maximum_diversification(np.atleast_2d(np.cov(x.T))),
+    "schur_complementary": lambda x: schur_complementary(np.atleast_2d(np.cov(x.T)))[0],
+    "random": lambda x: np.random.default_rng(len(x)).dirichlet(np.ones(x.shape[1])),
     "hierarchical_equal_risk": equal_risk_contribution,
     "nested_clusters": lambda x: nested(x, lambda v: mean_risk(v, "variance"), lambda v: risk_budgeting(np.atleast_2d(np.cov(v.T)))),
 } | {f"least_{r}": (lambda x, r=r: mean_risk(x, r)) for r in RISKS}
 
 
-def allocate(series: DataFrame, keys: list[str], allocator: str = "allocator", fallback: str | None = "equal") -> DataFrame:
+def allocate(series: DataFrame, keys: list[str], allocator: str = "allocator", fallback: str | tuple[str, ...] | None = "equal") -> DataFrame:
     """(keys, allocator, asset, weight, failed): one problem for every value of ``keys`` and ``allocator``, a column of ``series`` (keys, t, asset, r).
 
-    Only assets with a return on every date of the problem take part. Where an allocator fails, ``fallback`` answers and ``failed`` says
-    so; without one the weights are NULL.
+    Only assets with a return on every date of the problem take part. Where an allocator fails, the first of ``fallback`` that does not
+    answers, and ``failed`` says so; where none does the weights are NULL.
     """
+    chain = (fallback,) if isinstance(fallback, str) else fallback or ()
     kinds = {f.name: f.dataType.simpleString() for f in series.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (", " if keys else "") + "allocator string, asset string, weight double, failed boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="t", columns="asset", values="r").dropna(axis=1)
-        name, failed = pdf[allocator].iloc[0], False
-        try:
-            weights = ALLOCATORS[name](wide.to_numpy(float))
-        except (OptimizationError, np.linalg.LinAlgError):
-            failed, weights = True, ALLOCATORS[fallback](wide.to_numpy(float)) if fallback else np.full(wide.shape[1], np.nan)
+        name, weights, failed = pdf[allocator].iloc[0], np.full(wide.shape[1], np.nan), False
+        for tried in (name, *chain):
+            try:
+                weights = ALLOCATORS[tried](wide.to_numpy(float))
+                break
+            except (OptimizationError, np.linalg.LinAlgError):
+                failed = True
         out = pd.DataFrame({"allocator": name, "asset": wide.columns, "weight": weights, "failed": failed})
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import cross_section as cs
 from .operators import entropic as en
 from .operators import forecasts as fo
 from .operators import matrices as mx
@@ -19,7 +20,8 @@ from .plans import allocation as al
 from .plans import priors as pr
 from .plans import risk
 from .plans import splits as sp
-from .queries import BRANDS, DAILY, DAY, OOS, PAIRS, PSEUDO, RETURNS, _months, monthly_returns, q8, register, uv
+from .plans import uncertainty as un
+from .queries import BRANDS, DAILY, DAY, OOS, PAIRED, PAIRS, PSEUDO, RETURNS, ROLL, _months, monthly_returns, paired, q8, register, uv
 from .sources import panels
 
 # Shrunk covariances -------------------------------------------------------------------------------
@@ -385,3 +387,81 @@ register(
 )
 register("copula_selection_with_normal", None, lambda s, d: cp.select_copula(uv(s, d), taus(s, d)))
 register("copula_h_normal", None, lambda s, d: uv(s, d).select("t", "asset_i", "asset_j", cp.gaussian_h(F.col("u"), F.col("v"), 0.5).alias("h")))
+
+# Uncertainty sets, implied volatilities, regressions, bands -----------------------------------------------
+
+_DATES = "(SELECT count(DISTINCT t) FROM ret)"
+register("mean_uncertainty", f"WITH {PAIRS} SELECT asset_i, asset_j, {q8(f'covar_samp(x, y) / {_DATES}')} AS v FROM pr GROUP BY 1, 2", lambda s, d: un.mean_set(monthly_returns(s, d), diagonal=False))
+register(
+    "covariance_uncertainty",
+    f"WITH {PAIRS}, c AS (SELECT asset_i, asset_j, covar_samp(x, y) AS v FROM pr GROUP BY 1, 2) SELECT c.asset_i, c.asset_j, {q8(f'(a.v * b.v + c.v * c.v) / {_DATES}')} AS v FROM c JOIN c a ON a.asset_i = c.asset_i AND a.asset_j = c.asset_i JOIN c b ON b.asset_i = c.asset_j AND b.asset_j = c.asset_j",
+    lambda s, d: un.covariance_set(monthly_returns(s, d), diagonal=False),
+)
+register("mean_uncertainty_bootstrap", None, lambda s, d: un.bootstrap_mean_set(pn.indexed(whole(monthly_returns(s, d))), 200, 6.0))
+register("covariance_uncertainty_bootstrap", None, lambda s, d: un.bootstrap_covariance_set(pn.indexed(whole(monthly_returns(s, d))), 50, 6.0))
+register("bootstrap_block_lengths", None, lambda s, d: un.block_lengths(monthly_returns(s, d)))
+
+
+def implied(spark: SparkSession, d: str) -> DataFrame:
+    """Implied volatilities made from month and asset: 0.15 + 0.01 * ((7 * month + 3 * asset) mod 11) a year."""
+    return monthly_returns(spark, d).select("t", "asset", (0.15 + 0.01 * ((7 * F.month("t") + 3 * F.col("asset").cast("int")) % 11)).alias("vol"))
+
+
+_IV = f"""WITH {PAIRS}, iv AS (SELECT t, asset, r, 0.15::DOUBLE + 0.01::DOUBLE * ((7 * month(t) + 3 * CAST(asset AS INTEGER)) % 11) AS vol, dense_rank() OVER (ORDER BY t) - 1 AS i FROM ret),
+co AS (SELECT asset_i, asset_j, corr(x, y) AS v FROM pr GROUP BY 1, 2)"""
+_JOINED = f"SELECT asset_i, asset_j, {q8('co.v * a.vol * b.vol')} AS v FROM co JOIN fc a ON a.asset = asset_i JOIN fc b ON b.asset = asset_j"
+register(
+    "cov_implied",
+    f"""{_IV}, bl AS (SELECT asset, (i - (SELECT (max(i) + 1) % 6 FROM iv)) // 6 AS block, ln(stddev_samp(r)) AS rv, ln(arg_max(vol, t) / sqrt(252)) AS iv FROM iv WHERE i >= (SELECT (max(i) + 1) % 6 FROM iv) GROUP BY 1, 2),
+    ld AS (SELECT *, lead(rv) OVER (PARTITION BY asset ORDER BY block) AS y FROM bl),
+    se AS (SELECT asset, covar_pop(iv, iv) AS ii, covar_pop(rv, rv) AS rr, covar_pop(iv, rv) AS ir, covar_pop(iv, y) AS iy, covar_pop(rv, y) AS ry, avg(iv) AS mi, avg(rv) AS mr, avg(y) AS my FROM ld WHERE y IS NOT NULL GROUP BY asset),
+    fc AS (SELECT asset, exp(my + (iy * rr - ry * ir) / (ii * rr - ir * ir) * (l.iv - mi) + (ry * ii - iy * ir) / (ii * rr - ir * ir) * (l.rv - mr)) AS vol FROM se JOIN (SELECT asset, iv, rv FROM ld WHERE y IS NULL) l USING (asset))
+    {_JOINED}""",
+    lambda s, d: mx.implied_covariance(monthly_returns(s, d), implied(s, d), 6),
+)
+register(
+    "cov_implied_premium",
+    f"{_IV}, fc AS (SELECT asset, arg_max(vol, t) / sqrt(252) / 1.1::DOUBLE AS vol FROM iv GROUP BY asset) {_JOINED}",
+    lambda s, d: mx.implied_covariance(monthly_returns(s, d), implied(s, d), premium=1.1),
+)
+register(
+    "cs_ols_two_features",
+    f"""WITH {PAIRED}, u AS (SELECT t, w, x, ln(w) AS z, y FROM xy WHERE y IS NOT NULL), m AS (SELECT t, sum(w * x) / sum(w) AS mx, sum(w * z) / sum(w) AS mz, sum(w * y) / sum(w) AS my FROM u GROUP BY t),
+    g AS (SELECT t, any_value(mx) AS mx, any_value(mz) AS mz, any_value(my) AS my, sum(w * (x - mx) ** 2) AS xx, sum(w * (z - mz) ** 2) AS zz, sum(w * (x - mx) * (z - mz)) AS xz, sum(w * (x - mx) * (y - my)) AS xy, sum(w * (z - mz) * (y - my)) AS zy, sum(w * (y - my) ** 2) AS yy FROM u JOIN m USING (t) GROUP BY t),
+    b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM g)
+    SELECT {DAY}, {q8('my - bx * mx - bz * mz')} AS intercept, {q8('bx')} AS b_x, {q8('bz')} AS b_z, {q8('(bx * xy + bz * zy) / yy')} AS r2 FROM b""",
+    lambda s, d: cs.regression_on(paired(s, d).withColumn("z", F.log("w")), ["x", "z"]),
+)
+register(
+    "rolling_band",
+    f"WITH {ROLL} SELECT {DAY}, {q8('quantile_cont(sd, 0.05)')} AS p5, {q8('quantile_cont(sd, 0.5)')} AS p50, {q8('quantile_cont(sd, 0.95)')} AS p95 FROM g WHERE whole GROUP BY g.t",
+    lambda s, d: ms.band(ms.rolling(monthly_returns(s, d), 12), "standard_deviation"),
+)
+
+# More allocators ------------------------------------------------------------------------------------------
+
+
+def diversified(spark: SparkSession, d: str) -> DataFrame:
+    """What makes diversification highest: no asset's covariance with the portfolio, over its deviation, is below the portfolio's variance over its mean deviation, and those held are at it."""
+    m = marginal(spark, d, "maximum_diversification").join(mx.covariance(monthly_returns(spark, d)).where("asset_i = asset_j").select(F.col("asset_i").alias("asset"), F.sqrt("v").alias("sd")), "asset")
+    mean = m.agg(F.sum(F.col("weight") * F.col("sd"))).first()[0] or 1.0
+    level, own = F.col("whole") / float(mean), F.col("own") / F.col("sd")
+    return m.select("asset", (own >= level * (1 - 1e-4)).alias("stationary"), (F.col("weight") * (own / level - 1) <= 1e-4).alias("complementary"))
+
+
+register("maximum_diversification_optimality", f"{_WHOLE} SELECT asset, true AS stationary, true AS complementary FROM a", diversified)
+register(
+    "schur_variance",
+    "SELECT true AS invested, true AS positive, true AS below_hierarchical",
+    lambda s, d: schur_against_hierarchical(s, d),
+)
+
+
+def schur_against_hierarchical(spark: SparkSession, d: str) -> DataFrame:
+    """Whether Schur-complementary weights are whole and no riskier than those of hierarchical risk parity."""
+    w = allocated(spark, d, ["schur_complementary", "hierarchical_risk_parity"])
+    v = ms.measure(pf.portfolio_returns(monthly_returns(spark, d), w), ["variance"], ["portfolio_id"])
+    of = lambda n: F.max(F.when(F.col("portfolio_id") == n, F.col("variance")))
+    less = v.agg((of("schur_complementary") <= of("hierarchical_risk_parity") * (1 + 1e-9)).alias("below_hierarchical"))
+    mine = w.where("portfolio_id = 'schur_complementary'")
+    return mine.agg((F.abs(F.sum("weight") - 1) < 1e-9).alias("invested"), (F.min("weight") > 0).alias("positive")).join(less)
