@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .special import normal_distribution, normal_quantile
+from .special import normal_distribution, normal_quantile, student_cdf, student_ppf
 
 #: Pseudo-observations stay this far from 0 and 1.
 EDGE = 1e-9
@@ -210,3 +214,66 @@ def mutual_information(pairs: DataFrame, bins: int) -> DataFrame:
     cells = cells.withColumn("p", F.col("c") / total).withColumn("pa", F.sum("c").over(Window.partitionBy("asset_i", "asset_j", "a")) / total).withColumn("pb", F.sum("c").over(Window.partitionBy("asset_i", "asset_j", "b")) / total)
     g = cells.groupBy("asset_i", "asset_j").agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("pa") * F.col("pb")))).alias("mi"), (-F.sum(F.col("p") * F.log("pa"))).alias("ha"), (-F.sum(F.col("p") * F.log("pb"))).alias("hb"))
     return g.select("asset_i", "asset_j", (1 - F.try_divide("mi", F.least("ha", "hb"))).alias("v"))
+
+
+def sample(spark: SparkSession, n: int, inverse_h, *theta, seed: int = 0) -> DataFrame:
+    """(id, u, v): ``n`` draws of the copula with this inverse h-function. Uniforms are hashes of seed and id, so reruns and retried tasks agree."""
+    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = spark.range(n).select("id", uniform("p").alias("p"), uniform("v").alias("v"))
+    return drawn.select("id", inverse_h(F.col("p"), F.col("v"), *theta).alias("u"), "v")
+
+
+#: Degrees of freedom of Student's copula are sought within these bounds.
+FREEDOM = (2.0, 50.0)
+
+
+def student_log_density(x: np.ndarray, y: np.ndarray, rho: float, freedom: float) -> np.ndarray:
+    """Of t scores x and y, the quantiles of u and v."""
+    k = freedom
+    level = math.lgamma((k + 2) / 2) + math.lgamma(k / 2) - 2 * math.lgamma((k + 1) / 2) - 0.5 * math.log(1 - rho * rho)
+    both = np.log1p((x * x + y * y - 2 * rho * x * y) / (k * (1 - rho * rho)))
+    return level - (k + 2) / 2 * both + (k + 1) / 2 * (np.log1p(x * x / k) + np.log1p(y * y / k))
+
+
+def student_h(u: Column, v: Column, rho: float, freedom: float) -> Column:
+    """Probability of U up to u given V = v, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def conditional(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = student_ppf(a.to_numpy(float), freedom), student_ppf(b.to_numpy(float), freedom)
+        return pd.Series(student_cdf((x - rho * y) / np.sqrt((1 - rho * rho) * (freedom + y * y) / (freedom + 1)), freedom + 1))
+
+    return conditional(u, v)
+
+
+def fit_student(pairs: DataFrame, taus: DataFrame, rounds: int = 24) -> DataFrame:
+    """(asset_i, asset_j, tau, rho, freedom, log_likelihood, aic): the correlation from Kendall's tau, then the degrees of freedom of greatest likelihood
+    by golden section on their logarithm. Each pair's dates are one task's.
+    """
+    g = (math.sqrt(5) - 1) / 2
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v, tau = pdf["u"].to_numpy(float), pdf["v"].to_numpy(float), float(pdf["tau"].iloc[0])
+        rho = min(0.999, max(-0.999, math.sin(math.pi / 2 * tau)))
+
+        def fit(log_k: float) -> float:
+            k = math.exp(log_k)
+            return float(student_log_density(student_ppf(u, k), student_ppf(v, k), rho, k).sum())
+
+        low, high = map(math.log, FREEDOM)
+        a, b = high - g * (high - low), low + g * (high - low)
+        fa, fb = fit(a), fit(b)
+        for _ in range(rounds):
+            if fa >= fb:
+                high, b, fb = b, a, fa
+                a = high - g * (high - low)
+                fa = fit(a)
+            else:
+                low, a, fa = a, b, fb
+                b = low + g * (high - low)
+                fb = fit(b)
+        best = max(((fit(k), k) for k in ((low + high) / 2, *map(math.log, FREEDOM))))
+        return pd.DataFrame({"asset_i": pdf["asset_i"].iloc[:1], "asset_j": pdf["asset_j"].iloc[:1], "tau": tau, "rho": rho, "freedom": math.exp(best[1]), "log_likelihood": best[0], "aic": 4 - 2 * best[0]})
+
+    rows = pairs.select("asset_i", "asset_j", "u", "v").join(taus.where("tau is not null"), ["asset_i", "asset_j"])
+    return rows.groupBy("asset_i", "asset_j").applyInPandas(run, "asset_i string, asset_j string, tau double, rho double, freedom double, log_likelihood double, aic double")

@@ -36,6 +36,52 @@ def normal_ppf(p: np.ndarray) -> np.ndarray:
     return np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, x))
 
 
+def beta_share(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction, on the side where that converges fast."""
+    x = np.asarray(x, dtype=float)
+    turn = x > (a + 1) / (a + b + 2)
+    y, p, q = np.where(turn, 1 - x, x), np.where(turn, b, a), np.where(turn, a, b)
+    tiny = 1e-300
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(y) + q * np.log1p(-y)) / p
+    c = np.ones_like(y)
+    d = 1 - (p + q) * y / (p + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    for m in range(1, 400):
+        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        for n in (even, odd):
+            d = 1 + n * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + n / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * c * d
+        if (np.abs(c * d - 1) < 1e-15).all():
+            break
+    share = np.where(y <= 0, 0.0, front * h)
+    return np.where(turn, 1 - share, share)
+
+
+def student_cdf(x: np.ndarray, freedom: float) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    tail = beta_share(freedom / (freedom + x * x), freedom / 2, 0.5) / 2
+    return np.where(x > 0, 1 - tail, tail)
+
+
+def student_ppf(p: np.ndarray, freedom: float) -> np.ndarray:
+    """The quantile of Student's t: bisection on the lower tail's logarithm of -x, mirrored."""
+    p = np.asarray(p, dtype=float)
+    tail = np.minimum(p, 1 - p)
+    low, high = np.full(p.shape, -40.0), np.full(p.shape, 60.0)
+    for _ in range(70):
+        middle = (low + high) / 2
+        above = student_cdf(-np.exp(middle), freedom) > tail
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    x = np.where(tail >= 0.5, 0.0, np.exp((low + high) / 2))
+    return np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, np.where(p < 0.5, -x, x)))
+
+
 def normal_distribution(x: Column) -> Column:
     """``normal_cdf`` of a column, in Arrow batches."""
 

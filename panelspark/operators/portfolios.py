@@ -49,6 +49,32 @@ def scaled(weights: DataFrame, by: Column | float) -> DataFrame:
     return weights.withColumn("weight", F.col("weight") * by)
 
 
+def mapped(weights: DataFrame, change) -> DataFrame:
+    """Every weight through ``change``, a function of a Column: negation, absolute value, rounding, floor, division by a number."""
+    return weights.withColumn("weight", change(F.col("weight")).cast("double"))
+
+
+def moments(weights: DataFrame, mean: DataFrame, cov: DataFrame) -> DataFrame:
+    """(portfolio_id, mean, variance) that the assets' means (asset, mean) and covariances (asset_i, asset_j, v) imply; an asset without a mean counts none."""
+    expected = weights.join(mean, "asset").groupBy("portfolio_id").agg(F.sum(F.col("weight") * F.col("mean")).alias("mean"))
+    side = lambda s: weights.where("weight <> 0").select("portfolio_id", F.col("asset").alias(f"asset_{s}"), F.col("weight").alias(f"w_{s}"))
+    both = side("i").join(cov, "asset_i").join(side("j"), ["portfolio_id", "asset_j"])
+    return expected.join(both.groupBy("portfolio_id").agg(F.sum(F.col("w_i") * F.col("w_j") * F.col("v")).alias("variance")), "portfolio_id", "left")
+
+
+def compare(population: DataFrame, pairs: DataFrame, higher: list[str], lower: list[str]) -> DataFrame:
+    """(a, b, dominates): for every pair of portfolio ids (a, b) whether a is at least as good as b in every measure and better in one."""
+    side = lambda s: population.select(F.col("portfolio_id").alias(s), *(F.col(m).alias(f"{s}_{m}") for m in higher + lower))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    good = [F.col(f"a_{m}") - F.col(f"b_{m}") for m in higher] + [F.col(f"b_{m}") - F.col(f"a_{m}") for m in lower]
+    return both.select("a", "b", ((F.least(*good, F.lit(0.0)) >= 0) & (F.greatest(*good, F.lit(0.0)) > 0)).alias("dominates"))
+
+
+def weights_by_date(weights: DataFrame, tested: DataFrame) -> DataFrame:
+    """(split_id, t, asset, weight): the weights of each split's portfolio on each of its test dates (split_id, t)."""
+    return tested.select("split_id", "t").join(weights.select("split_id", "asset", "weight"), "split_id").select("split_id", "t", "asset", "weight")
+
+
 def composition(weights: DataFrame) -> DataFrame:
     """Non-zero weights with their rank by falling weight."""
     rank = F.row_number().over(Window.partitionBy("portfolio_id").orderBy(F.desc("weight"), "asset"))

@@ -115,3 +115,15 @@ def nested(x: np.ndarray, inner: Allocator, outer: Allocator, folds: int | None
     for p, w, share in zip(clusters, held, top, strict=True):
         out[p] = w * share
     return out
+
+
+def stacked(x: np.ndarray, inner: list[Allocator], outer: Allocator, folds: int | None = 5) -> np.ndarray:
+    """``outer`` weights the portfolios of several allocators by their returns out of sample, as ``nested`` makes them; the sum of the portfolios so weighted."""
+    every = np.arange(len(x))
+    held = np.array([solve(x) for solve in inner])
+    met = x @ held.T
+    if folds:
+        for test in np.array_split(every, folds):
+            train = x[np.setdiff1d(every, test)]
+            met[test] = x[test] @ np.array([solve(train) for solve in inner]).T
+    return (outer(met) if len(inner) > 1 else np.ones(1)) @ held

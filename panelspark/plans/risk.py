@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .allocation import OptimizationError, hierarchical_risk_parity, maximum_diversification, risk_budgeting, schur_complementary
-from .clusters import equal_risk_contribution, nested
+from .clusters import equal_risk_contribution, nested, stacked
 
 RISKS = ("variance", "semi_variance", "mean_absolute_deviation", "first_lower_partial_moment", "cvar", "worst_realization", "max_drawdown", "average_drawdown", "cdar", "ulcer_index")
 
@@ -180,6 +180,7 @@ ALLOCATORS = {
     "random": lambda x: np.random.default_rng(len(x)).dirichlet(np.ones(x.shape[1])),
     "hierarchical_equal_risk": equal_risk_contribution,
     "nested_clusters": lambda x: nested(x, lambda v: mean_risk(v, "variance"), lambda v: risk_budgeting(np.atleast_2d(np.cov(v.T)))),
+    "stacked": lambda x: stacked(x, [ALLOCATORS["inverse_volatility"], ALLOCATORS["risk_parity"], ALLOCATORS["hierarchical_risk_parity"]], lambda v: mean_risk(v, "cvar")),
 } | {f"least_{r}": (lambda x, r=r: mean_risk(x, r)) for r in RISKS}
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import cross_section as cs
@@ -17,12 +17,14 @@ from .operators import selection as se
 from .operators import spectra
 from .functions import copulas as cp
 from .plans import allocation as al
+from .plans import distributions as di
 from .plans import priors as pr
 from .plans import risk
 from .plans import splits as sp
 from .plans import uncertainty as un
-from .queries import BRANDS, DAILY, DAY, OOS, PAIRED, PAIRS, PSEUDO, RETURNS, ROLL, _months, monthly_returns, paired, q8, register, uv
+from .queries import BRANDS, DAILY, DAY, OOS, POPULATION, POPULATION_FRAME, PAIRED, PAIRS, PSEUDO, RETURNS, ROLL, _months, monthly_returns, paired, population, population_weights, q8, register, uv
 from .sources import panels
+from .streaming import exponential as ew
 
 # Shrunk covariances -------------------------------------------------------------------------------
 
@@ -465,3 +467,86 @@ def schur_against_hierarchical(spark: SparkSession, d: str) -> DataFrame:
     less = v.agg((of("schur_complementary") <= of("hierarchical_risk_parity") * (1 + 1e-9)).alias("below_hierarchical"))
     mine = w.where("portfolio_id = 'schur_complementary'")
     return mine.agg((F.abs(F.sum("weight") - 1) < 1e-9).alias("invested"), (F.min("weight") > 0).alias("positive")).join(less)
+
+register("stacked_weights", None, lambda s, d: allocated(s, d, ["stacked"]).select("asset", "weight"))
+register(
+    "stacked_budget",
+    "SELECT 1.0::DOUBLE AS invested, true AS positive",
+    lambda s, d: allocated(s, d, ["stacked"]).agg(F.round(F.sum("weight"), 6).alias("invested"), (F.min("weight") > -1e-9).alias("positive")),
+)
+
+# Portfolio algebra ----------------------------------------------------------------------------------------
+
+
+def changed(spark: SparkSession, d: str) -> DataFrame:
+    """All weights negated, made absolute, rounded, floored to hundredths, and halved."""
+    w = population_weights(monthly_returns(spark, d))
+    changes = {"neg": lambda x: -x, "abs": lambda x: F.abs(-x), "round": lambda x: F.round(x, 2), "floor": lambda x: F.floor(x * 100) / 100, "div": lambda x: x / 2}
+    out = None
+    for name, change in changes.items():
+        part = pf.mapped(w, change).select(F.lit(name).alias("op"), "portfolio_id", "asset", "weight")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+register(
+    "ptf_unary",
+    f"WITH {POPULATION} SELECT op, CAST(k AS VARCHAR) AS portfolio_id, asset, {q8('CASE op WHEN ' + chr(39) + 'neg' + chr(39) + ' THEN -weight WHEN ' + chr(39) + 'abs' + chr(39) + ' THEN abs(-weight) WHEN ' + chr(39) + 'round' + chr(39) + ' THEN round(weight, 2) WHEN ' + chr(39) + 'floor' + chr(39) + ' THEN floor(weight * 100) / 100 ELSE weight / 2 END')} AS weight FROM wt, (SELECT unnest(['neg', 'abs', 'round', 'floor', 'div']) AS op)",
+    changed,
+)
+register(
+    "ptf_moments",
+    f"""WITH {POPULATION}, mu AS (SELECT asset, avg(r) AS m FROM ret GROUP BY asset), cv AS (SELECT a.asset AS i, b.asset AS j, covar_samp(a.r, b.r) AS v FROM ret a JOIN ret b USING (t) GROUP BY 1, 2),
+    va AS (SELECT a.k, sum(a.weight * b.weight * v) AS v FROM wt a JOIN cv ON i = a.asset JOIN wt b ON b.asset = j AND b.k = a.k GROUP BY 1), me AS (SELECT k, sum(weight * m) AS m FROM wt JOIN mu USING (asset) GROUP BY k)
+    SELECT CAST(k AS VARCHAR) AS portfolio_id, {q8('m')} AS mean, {q8('v')} AS variance FROM me JOIN va USING (k)""",
+    lambda s, d: (lambda r: pf.moments(population_weights(r), r.groupBy("asset").agg(F.avg("r").alias("mean")), mx.covariance(r)))(monthly_returns(s, d)),
+)
+register(
+    "pop_compare",
+    f"WITH {POPULATION_FRAME} SELECT a.portfolio_id AS a, b.portfolio_id AS b, a.mean >= b.mean AND a.cvar <= b.cvar AND (a.mean > b.mean OR a.cvar < b.cvar) AS dominates FROM pop a JOIN pop b ON CAST(b.portfolio_id AS INTEGER) = CAST(a.portfolio_id AS INTEGER) + 1",
+    lambda s, d: pf.compare(population(s, d), s.range(10).select(F.col("id").cast("string").alias("a"), (F.col("id") + 1).cast("string").alias("b")), ["mean"], ["cvar"]),
+)
+
+
+def held_by_date(spark: SparkSession, d: str) -> DataFrame:
+    """Inverse-volatility weights of every walk-forward split on its test dates."""
+    rows = sp.assign(pn.indexed(monthly_returns(spark, d)), sp.table(spark, sp.walk_forward(_months(spark, d), 6, 24, 1)))
+    w = rows.where("role = 'train'").groupBy("split_id", "asset").agg((1 / F.stddev_samp("r")).alias("v")).withColumn("weight", F.col("v") / F.sum("v").over(Window.partitionBy("split_id")))
+    return pf.weights_by_date(w, rows.where("role = 'test'").select("split_id", "t").distinct())
+
+
+register("wf_weights_by_date", f"WITH {OOS}, te AS (SELECT DISTINCT split_id, t FROM ix JOIN sp ON role = 'test' AND i >= lo AND i < hi) SELECT split_id, {DAY}, asset, {q8('weight')} AS weight FROM te JOIN ww USING (split_id)", held_by_date)
+
+# Online search, draws -------------------------------------------------------------------------------------
+
+register(
+    "online_half_life_search",
+    f"""WITH {RETURNS}, h AS (SELECT unnest([3.0, 6.0, 12.0, 24.0]::DOUBLE[]) AS half_life), ag AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS i FROM ret),
+    fc AS (SELECT b.asset, half_life, b.i, b.r, sum((1 - pow(2, -1 / half_life)) * pow(pow(2, -1 / half_life), b.i - 1 - a.i) * a.r * a.r) / (1 - pow(pow(2, -1 / half_life), b.i - 1)) AS v FROM ag a JOIN ag b ON a.asset = b.asset AND a.i < b.i, h WHERE b.i > 12 GROUP BY 1, 2, 3, 4),
+    sc AS (SELECT asset, half_life, avg(ln(v) + r * r / v) AS score, CAST(count(*) AS INTEGER) AS n FROM fc GROUP BY 1, 2)
+    SELECT asset, half_life, {q8('score')} AS score, n, row_number() OVER (PARTITION BY asset ORDER BY sc.score, half_life) = 1 AS best FROM sc""",
+    lambda s, d: ew.search_half_life(monthly_returns(s, d), [3, 6, 12, 24], 12),
+)
+register(
+    # The shares of draws below both medians, against the copulas' values there.
+    "copula_samples",
+    "SELECT 200000 AS n, round((0.5 ** -2.0 + 0.5 ** -2.0 - 1) ** (-0.5), 2) AS clayton, round(0.25 + asin(0.6) / (2 * pi()), 2) AS normal",
+    lambda s, d: draws(s),
+)
+
+
+def draws(spark: SparkSession) -> DataFrame:
+    low = F.round(F.avg(((F.col("u") <= 0.5) & (F.col("v") <= 0.5)).cast("double")), 2)
+    part = lambda name, inverse, theta: cp.sample(spark, 200_000, inverse, theta).agg(F.count("*").cast("int").alias("n"), low.alias(name))
+    return part("clayton", cp.clayton_inverse_h, 2.0).join(part("normal", cp.gaussian_inverse_h, 0.6), "n")
+
+
+register("univariate_selection", None, lambda s, d: di.fit(monthly_returns(s, d)))
+register(
+    # Families that hold the normal as a limit cannot be less likely than it.
+    "univariate_likelihoods",
+    f"WITH {RETURNS} SELECT asset, {q8(_FIT)} AS normal, true AS student_t, true AS one_best FROM ret GROUP BY asset",
+    lambda s, d: di.fit(monthly_returns(s, d)).groupBy("asset").agg(*(F.max(F.when(F.col("family") == f, F.col("log_likelihood"))).alias(f) for f in ("normal", "student_t")), (F.count_if("best") == 1).alias("one_best")).withColumn("student_t", F.col("student_t") >= F.col("normal") - 1e-3),
+)
+register("copula_fit_student", None, lambda s, d: cp.fit_student(uv(s, d), taus(s, d)))
+register("copula_h_student", None, lambda s, d: uv(s, d).select("t", "asset_i", "asset_j", cp.student_h(F.col("u"), F.col("v"), 0.5, 4.0).alias("h")))

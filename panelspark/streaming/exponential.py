@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -42,6 +42,32 @@ def fold(series: DataFrame, half_life: float) -> DataFrame:
     return s.select("asset", F.try_divide(F.col("s.mean"), bias).alias("mean"), F.try_divide(F.col("s.variance"), bias).alias("variance"))
 
 
+def search_half_life(series: DataFrame, half_lives: list[float], warmup: int = 12) -> DataFrame:
+    """(asset, half_life, score, n, best): each candidate's forecasts of the variance, made before every date from those earlier, scored by mean QLIKE.
+
+    Dates count from the ``warmup``-th known return on. The lowest score is ``best``, ties by the shorter half-life. One ordered fold an asset and candidate,
+    inside the JVM.
+    """
+    rows = series.where("r is not null").groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("t", "r"))).alias("s"))
+    rows = rows.withColumn("half_life", F.explode(F.array(*(F.lit(float(h)) for h in half_lives)))).withColumn("lam", F.pow(F.lit(2.0), -1 / F.col("half_life")))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("v"), F.lit(0).alias("k"), zero.alias("loss"), F.lit(0).alias("n"))
+
+    def merge(s, x):
+        square = x["r"] * x["r"]
+        ready = (s["k"] >= warmup) & (s["v"] > 0)
+        v = s["v"] / (1 - F.pow("lam", s["k"].cast("double")))
+        return F.struct(
+            (F.col("lam") * s["v"] + (1 - F.col("lam")) * square).alias("v"),
+            (s["k"] + 1).alias("k"),
+            (s["loss"] + F.when(ready, F.log(v) + square / v).otherwise(0.0)).alias("loss"),
+            (s["n"] + F.when(ready, 1).otherwise(0)).alias("n"),
+        )
+
+    found = rows.select("asset", "half_life", F.aggregate("s", start, merge).alias("s")).where("s.n > 0").select("asset", "half_life", (F.col("s.loss") / F.col("s.n")).alias("score"), F.col("s.n").alias("n"))
+    return found.withColumn("best", F.row_number().over(Window.partitionBy("asset").orderBy("score", "half_life")) == 1)
+
+
 class Exponential(StatefulProcessor):
     """Keeps the state of each asset; rows of a micro-batch are taken in order of t."""
 
