@@ -57,7 +57,7 @@ def beta_share(x: np.ndarray, a: float, b: float) -> np.ndarray:
             c = 1 + n / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * c * d
-        if (np.abs(c * d - 1) < 1e-15).all():
+        if (np.abs(c * d - 1) < 1e-14).all():
             break
     share = np.where(y <= 0, 0.0, front * h)
     return np.where(turn, 1 - share, share)
@@ -70,16 +70,26 @@ def student_cdf(x: np.ndarray, freedom: float) -> np.ndarray:
 
 
 def student_ppf(p: np.ndarray, freedom: float) -> np.ndarray:
-    """The quantile of Student's t: bisection on the lower tail's logarithm of -x, mirrored."""
+    """The quantile of Student's t, by Newton steps on the lower tail, in logarithms of tail and of -x.
+
+    There the tail is concave, and below the power of x that the first step starts from, so that steps fall to the root and never pass it.
+    """
     p = np.asarray(p, dtype=float)
     tail = np.minimum(p, 1 - p)
-    low, high = np.full(p.shape, -40.0), np.full(p.shape, 60.0)
-    for _ in range(70):
-        middle = (low + high) / 2
-        above = student_cdf(-np.exp(middle), freedom) > tail
-        low, high = np.where(above, middle, low), np.where(above, high, middle)
-    x = np.where(tail >= 0.5, 0.0, np.exp((low + high) / 2))
-    return np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, np.where(p < 0.5, -x, x)))
+    found = (tail > 0) & (tail < 0.5)
+    want = np.log(np.where(found, tail, 0.25))
+    level = math.lgamma((freedom + 1) / 2) - math.lgamma(freedom / 2) - 0.5 * math.log(freedom * math.pi)
+    s = (level + (freedom - 1) / 2 * math.log(freedom) - want) / freedom
+    for _ in range(60):
+        x = np.exp(s)
+        share = np.maximum(student_cdf(-x, freedom), 1e-300)
+        density = np.exp(level - (freedom + 1) / 2 * np.log1p(x * x / freedom))
+        step = (want - np.log(share)) * share / (density * x)
+        s = s - step
+        if np.abs(step).max(initial=0) < 1e-12:
+            break
+    x = np.where(found, np.exp(s), np.where(tail >= 0.5, 0.0, np.inf))
+    return np.where(p < 0.5, -x, x)
 
 
 def normal_distribution(x: Column) -> Column:
