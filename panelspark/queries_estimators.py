@@ -24,6 +24,7 @@ from .plans import splits as sp
 from .plans import uncertainty as un
 from .queries import BRANDS, DAILY, DAY, OOS, POPULATION, POPULATION_FRAME, PAIRED, PAIRS, PSEUDO, RETURNS, ROLL, _months, monthly_returns, paired, population, population_weights, q8, register, uv
 from .sources import panels
+from .storage import cut
 from .streaming import exponential as ew
 
 # Shrunk covariances -------------------------------------------------------------------------------
@@ -354,9 +355,18 @@ def mrcv_shape(spark: SparkSession, d: str) -> DataFrame:
 register(
     "bootstrap_stationary",
     f"WITH {RETURNS} SELECT CAST(k AS INTEGER) AS sample_id, count(DISTINCT t) AS places, true AS known FROM ret, range(20) AS u(k) GROUP BY k",
-    lambda s, d: (lambda series: sp.stationary_bootstrap(pn.indexed(series), 20, 6.0).join(series.select("t", "asset", F.col("r").alias("own")), ["t", "asset"], "left").groupBy("sample_id").agg(F.countDistinct("place").alias("places"), F.every(F.coalesce(F.col("own") == F.col("r"), F.lit(False))).alias("known")))(monthly_returns(s, d)),
+    lambda s, d: resampled(s, d),
 )
 
+
+def resampled(spark: SparkSession, d: str) -> DataFrame:
+    """Whether resamples hold the panel's own returns. Those are written once, as a second reading may add prices in another order and end in other last bits."""
+    series = cut(monthly_returns(spark, d), "returns")
+    own = series.select("t", "asset", F.col("r").alias("own"))
+    known = F.every(F.coalesce(F.col("own") == F.col("r"), F.lit(False))).alias("known")
+    return sp.stationary_bootstrap(pn.indexed(series), 20, 6.0).join(own, ["t", "asset"], "left").groupBy("sample_id").agg(F.countDistinct("place").alias("places"), known)
+
+
 # Distributions ------------------------------------------------------------------------------------------
 
 _FIT = "-(count(*) / 2) * (ln(2 * pi() * var_pop(r)) + 1)"

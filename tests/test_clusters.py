@@ -6,6 +6,7 @@ import statistics
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.functions import copulas as cp
 from panelspark.operators import spectra
@@ -117,6 +118,21 @@ def test_bootstrap_runs_have_the_mean_length(spark):
     assert sp.stationary_bootstrap(panel.where("false"), 5, 8.0).count() == 0
 
 
+def test_resamples_hold_the_panels_returns_whose_last_bits_vary(spark, monkeypatch):
+    """Every reading of the panel adds in another order, as shuffled sums do."""
+    from panelspark import queries_estimators as qe
+    from panelspark.queries import QUERIES
+
+    @F.pandas_udf("double")
+    def summed(x: pd.Series) -> pd.Series:
+        return x + np.random.default_rng().uniform(0, 1e-12, len(x))
+
+    panel = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(i), a, 0.01 * i) for i in range(30) for a in "ab"], "t date, asset string, x double")
+    monkeypatch.setattr(qe, "monthly_returns", lambda s, d: panel.select("t", "asset", summed.asNondeterministic()("x").alias("r")))
+    got = QUERIES["bootstrap_stationary"](spark, "").collect()
+    assert len(got) == 20 and all(r["places"] == 30 and r["known"] for r in got)
+
+
 def test_normal_copula(spark):
     u = spark.createDataFrame([(0.2, 0.7), (0.9, 0.85), (0.5, 0.01)], "u double, v double")
     from pyspark.sql import functions as F
