@@ -5,12 +5,13 @@ count, then the first ``DEPTH`` tokens. A leaf holds any number of templates. A
 dealt into one segment more than the fields that it may differ in, so that two lines near enough share a
 segment; lines that share one are compared, and those that differ in few enough positions are
 joined. Lines joined, directly or by others, have one template, whose variables are the positions in which
-they differ; any other line is its own template. A segment that more than ``BLOCK`` lines share elects
-the lines of most documents first, and a line near to an elected one is represented by it from then on;
-what is left meets in pairs of blocks. Elections go by counts over all lines, so neither order nor
-partitions matter. A template that enough documents share is dropped from all of them but the first:
-``LEAST_DOCS`` or more, ``MIN_DOCS`` at most, and in between so many that documents times tokens reach
-``WEIGHT``, so that the longer a template, the fewer.
+they differ; any other line is its own template. A segment that more than ``BLOCK`` lines share is
+narrowed: the positions in which its lines vary are dealt into one part more than the fields, and near
+lines share a part again; no pair of near lines is lost, so a segment's size does not matter. Lines of
+most documents are elected before, and what is near to the same one needs no comparison. A template that
+enough documents share is dropped from all of them but the first: ``LEAST_DOCS`` or more, ``MIN_DOCS`` at
+most, and in between so many that documents times tokens reach ``WEIGHT``, so that the longer a template,
+the fewer.
 
 One pass over the texts hashes all lines; from there on only hashes move, and texts meet the places to
 drop only where a line of theirs goes.
@@ -38,8 +39,10 @@ DEPTH, MIN_DOCS = 3, 10
 LEAST_DOCS, WEIGHT = 2, 40
 #: Fewest tokens of a line that may be generalised, least share of positions in which two lines of a template agree, and most in which they differ.
 MIN_TOKENS, CONSTANT, FIELDS = 8, 0.7, 3
-#: Most lines that are compared all with all, lines elected at once, share of the lines that an election has to place to be repeated.
-BLOCK, LEADERS, PROGRESS = 1024, 4, 0.05
+#: Most lines that are compared all with all, and lines elected at once in a segment of more.
+BLOCK, LEADERS = 1024, 4
+#: Bins in which the codes of a position are counted, bytes of such counts held at once, the part of a position in which a segment's lines agree.
+BINS, FORMS, SAME = 16, 1 << 26, 255
 #: Bytes of text hashed at once, lines in a call that compares groups.
 CHUNK, LINES_IN_LOT = 1 << 19, 8192
 #: Lines in a batch that a pass returns.
@@ -135,14 +138,16 @@ def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def near_lines(codes: np.ndarray, side: np.ndarray) -> np.ndarray:
+def near_lines(codes: np.ndarray, tag: np.ndarray) -> np.ndarray:
     """For lines of one length as rows of token codes, the first line that nearness connects each with.
 
-    ``side`` is the block of each line, and only lines of different ones are compared; -1: with all.
+    Lines of one ``tag`` are known to be connected, and are not compared.
     """
-    most, tree = int(slack(np.array([codes.shape[1]]))[0]), np.arange(len(codes))
+    most = int(slack(np.array([codes.shape[1]]))[0])
+    _, first, place = np.unique(tag, return_index=True, return_inverse=True)
+    tree = first[place]
     for i in range(1, len(codes)):
-        other = np.flatnonzero((tree[:i] != tree[i]) & ((side[:i] != side[i]) | (side[i] < 0)))
+        other = np.flatnonzero(tree[:i] != tree[i])
         near = other[(codes[other] != codes[i]).sum(axis=1) <= most] if len(other) else other
         if len(near):
             joined = np.unique(np.r_[tree[near], tree[i]])
@@ -151,45 +156,121 @@ def near_lines(codes: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates(["tile", "line"]).sort_values(["tile", "line"])
-    tile, line, side, codes = pdf["tile"].to_numpy(), pdf["line"].to_numpy(), pdf["side"].to_numpy(), pdf["codes"].tolist()
-    edge = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
+    pdf = pdf.drop_duplicates(["segment", "line"]).sort_values(["segment", "line"])
+    line, tag = pdf["line"].to_numpy(), pdf["tag"].to_numpy()
     out = [np.empty((0, 2), dtype=np.int64)]
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+    for _, a, b, codes in _runs(pdf):
         if b - a > 1:
-            tree = near_lines(np.frombuffer(b"".join(codes[a:b]), dtype=np.uint32).reshape(b - a, -1), side[a:b])
+            tree = near_lines(codes, tag[a:b])
             on = np.flatnonzero(tree != np.arange(b - a))
             out.append(np.stack([line[a + tree[on]], line[a + on]], axis=1))
     return pd.DataFrame(np.concatenate(out), columns=["u", "v"])
 
 
-def _elected(members: DataFrame, codes: DataFrame, counts: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """(pairs of lines and elected lines near to them, the members left) for segments that more than ``BLOCK`` lines share."""
-    edges = None
+def _runs(pdf: pd.DataFrame) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(segment, from, to, rows of token codes) of every run of one segment."""
+    segment, codes = pdf["segment"].to_numpy(), pdf["codes"].tolist()
+    edge = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True]) if len(pdf) else np.zeros(1, dtype=np.int64)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(segment[a]), a, b, np.frombuffer(b"".join(codes[a:b]), dtype=np.uint32).reshape(b - a, -1)
+
+
+def _merged(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    return b if a is None else np.concatenate([np.minimum(a[:1], b[:1]), np.maximum(a[1:2], b[1:2]), a[2:] + b[2:]])
+
+
+def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For segments' lines, at each position: the least and the largest code, and how many lines have it in each bin."""
+    held, size = {}, 0
+    frame = lambda: pd.DataFrame({"segment": list(held), "form": [x.tobytes() for x in held.values()]})
+    for pdf in batches:
+        for segment, _, _, codes in _runs(pdf.sort_values("segment", kind="stable")):
+            bins = [((codes * np.uint32(0x9E3779B1)) >> np.uint32(28) == k).sum(axis=0) for k in range(BINS)]
+            size += 0 if segment in held else (BINS + 2) * codes.shape[1] * 8
+            held[segment] = _merged(held.get(segment), np.stack([codes.min(axis=0), codes.max(axis=0), *bins]).astype(np.int64))
+        if size > FORMS:
+            yield frame()
+            held, size = {}, 0
+    if held:
+        yield frame()
+
+
+def _split(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The part of each position for lines that share a segment, ``SAME`` where all agree; all ``SAME`` if that makes every pair near.
+
+    Two near lines differ in fewer positions than there are parts, so that they agree in one part. Positions that tell most lines apart are
+    spread over the parts first.
+    """
+    form = None
+    for x in pdf["form"]:
+        form = _merged(form, np.frombuffer(x, dtype=np.int64).reshape(BINS + 2, -1))
+    n = form.shape[1]
+    most, vary = int(slack(np.array([n]))[0]), np.flatnonzero(form[0] < form[1])
+    part = np.full(n, SAME, dtype=np.uint8)
+    if len(vary) > most:
+        shares = form[2:, vary] / form[2:, vary].sum(axis=0)
+        weight = -np.log((shares**2).sum(axis=0))
+        load = [(0.0, 0, k) for k in range(most + 1)]
+        for i in np.argsort(-weight, kind="stable"):
+            least, count, k = min(load)
+            load[load.index((least, count, k))] = (least + max(float(weight[i]), 0.0), count + 1, k)
+            part[vary[i]] = k
+    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "part": [part.tobytes()]})
+
+
+def _deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(segment, line, tag, v): pairs of a line and an elected one near to it, and, where v is the line itself, its places in narrower segments."""
+    for pdf in batches:
+        pdf = pdf.sort_values("segment", kind="stable")
+        out = [np.empty((0, 4), dtype=np.int64)]
+        for segment, a, b, codes in _runs(pdf):
+            line, tag = pdf["line"].to_numpy()[a:b], pdf["tag"].to_numpy()[a:b].copy()
+            part, elected = np.frombuffer(pdf["part"].iloc[a], dtype=np.uint8), pdf["elected"].iloc[a]
+            v = np.array([x["line"] for x in elected], dtype=np.int64)
+            tops = np.frombuffer(b"".join(x["codes"] for x in elected), dtype=np.uint32).reshape(len(v), -1)
+            most = int(slack(np.array([codes.shape[1]]))[0])
+            # Elected lines that are near each other give one tag; each is a line of the segment, so its pairs are found too.
+            tree = near_lines(tops, v)
+            for k in range(len(v))[::-1]:
+                near = np.flatnonzero((codes != tops[k]).sum(axis=1) <= most)
+                tag[near] = v[tree[k]]
+                pairs = near[line[near] != v[k]]
+                out.append(np.stack([np.zeros_like(pairs), line[pairs], np.zeros_like(pairs), np.full_like(pairs, v[k])], axis=1))
+            for k in np.unique(part[part != SAME]).tolist():
+                at = np.flatnonzero(part == k)
+                with np.errstate(over="ignore"):
+                    key = mix(codes[:, at].astype(np.uint64) + (at.astype(np.uint64) + np.uint64(1)) * _LEAF).sum(axis=1, dtype=np.uint64)
+                    key = mix(key + np.array([segment], dtype=np.int64).view(np.uint64) * _MASK + np.uint64(k))
+                out.append(np.stack([key.view(np.int64), line, tag, line], axis=1))
+        yield pd.DataFrame(np.concatenate(out), columns=["segment", "line", "tag", "v"])
+
+
+def _narrowed(members: DataFrame, codes: DataFrame, counts: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(pairs of near lines, members: segment, line, tag) such that pairs and nearness within segments of ``BLOCK`` lines at most connect as nearness among ``members`` does.
+
+    A larger segment gives way to narrower ones, which agree in more positions; each varies in fewer than the one before, so this ends. Lines
+    of one tag are connected by the pairs, and a segment of one tag has nothing left to compare.
+    """
+    edges, small, left = None, None, members.withColumn("tag", F.col("line"))
     while True:
-        big = members.groupBy("segment").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("segment")
+        sizes = left.groupBy("segment").agg(F.count("*").alias("c"), F.min("tag").alias("low"), F.max("tag").alias("high"))
+        big = sizes.where((F.col("c") > BLOCK) & (F.col("low") < F.col("high"))).select("segment")
         if big.isEmpty():
-            return edges, members
-        voters = members.join(big, "segment").join(counts.select("line", "docs"), "line")
-        tops = voters.groupBy("segment", F.pmod("line", F.lit(LEADERS)).alias("seat")).agg(F.max(F.struct("docs", "line"))["line"].alias("v"))
-        pairs = voters.join(tops, "segment").where("line <> v").select("segment", "line", "v")
-        pairs = pairs.join(codes.select("line", F.col("codes").alias("a")), "line").join(codes.select(F.col("line").alias("v"), F.col("codes").alias("b")), "v")
-        near = cut(pairs.where(_alike(F.col("a"), F.col("b"))).select("segment", "line", "v"), "near")
-        edges = near.select("line", "v") if edges is None else edges.unionByName(near.select("line", "v"))
-        placed, before = near.select("segment", "line").distinct(), voters.count()
-        # The elected have met every line of their segment.
-        gone = placed.unionByName(tops.select("segment", F.col("v").alias("line")))
-        members = cut(members.join(gone, ["segment", "line"], "left_anti"), "members")
-        if placed.count() < PROGRESS * before:
-            return edges, members
-
-
-def _alike(a: Column, b: Column) -> Column:
-    """Whether lines of equal length differ in few enough of their 8-digit token codes."""
-    of = lambda x: F.split(F.regexp_replace(F.hex(x), "(.{8})", "$1 "), " ")
-    n = F.length(a) / 4
-    differ = F.size(F.filter(F.zip_with(of(a), of(b), lambda x, y: x != y), lambda x: x))
-    return differ <= F.least(n - F.ceil(CONSTANT * n - 1e-9), F.lit(FIELDS))
+            return edges, left if small is None else small.unionByName(left)
+        big = cut(big, "big")
+        rest = left.join(big, "segment", "left_anti")
+        small = rest if small is None else small.unionByName(rest)
+        voters = cut(left.join(big, "segment").join(codes, "line").join(counts.select("line", "docs"), "line"), "voters")
+        tops = voters.groupBy("segment", F.pmod("line", F.lit(LEADERS)).alias("seat")).agg(F.max(F.struct("docs", "line", "codes")).alias("top"))
+        tops = tops.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("top.line", "top.codes"))).alias("elected"))
+        parts = voters.select("segment", "codes").mapInPandas(_forms, "segment long, form binary").groupBy("segment").applyInPandas(_split, "segment long, part binary")
+        plans = cut(tops.join(parts, "segment"), "plans")
+        dealt = cut(voters.join(plans, "segment").select("segment", "line", "tag", "codes", "part", "elected").mapInPandas(_deal, "segment long, line long, tag long, v long"), "dealt")
+        for done in (voters, plans):
+            drop_cut(done)
+        found = dealt.where("line <> v").select("line", "v")
+        edges = found if edges is None else edges.unionByName(found)
+        left = dealt.where("line = v").select("segment", "line", "tag")
 
 
 def similar_lines(lines: DataFrame, counts: DataFrame) -> DataFrame:
@@ -207,14 +288,11 @@ def similar_lines(lines: DataFrame, counts: DataFrame) -> DataFrame:
     members = cut(only_ids(each, shared, "segment").distinct(), "members")
     codes = only_ids(lines.where(F.col("n") >= MIN_TOKENS).select("line", "codes"), members.select("line").distinct(), "line")
     codes = cut(codes.groupBy("line").agg(F.first("codes").alias("codes")), "codes")
-    elected, members = _elected(members, codes, counts)
-    sizes = members.groupBy("segment").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("c")).where("c > 1").drop("c")
-    at = F.pmod(F.xxhash64("line"), F.col("blocks").cast("long")).cast("int")
-    meet = members.join(sizes, "segment").withColumn("at", at).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select("line", F.xxhash64("segment", F.least("at", "to"), F.greatest("at", "to")).alias("tile"), F.when(F.col("at") == F.col("to"), F.lit(-1)).otherwise(F.col("at")).alias("side"))
-    meet = meet.join(codes, "line").withColumn("lot", F.pmod("tile", F.lit(members.count() // LINES_IN_LOT + 1)))
+    found, members = _narrowed(members, codes, counts)
+    apart = members.groupBy("segment").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").select("segment")
+    meet = members.join(apart, "segment").join(codes, "line").withColumn("lot", F.pmod("segment", F.lit(members.count() // LINES_IN_LOT + 1)))
     edges = meet.groupBy("lot").applyInPandas(_compare, "u long, v long")
-    return edges if elected is None else edges.unionByName(elected.select(F.col("line").alias("u"), "v"))
+    return edges if found is None else edges.unionByName(found.select(F.col("line").alias("u"), "v"))
 
 
 def line_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

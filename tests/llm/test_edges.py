@@ -49,6 +49,39 @@ def test_elections_place_lines_of_large_segments(spark, monkeypatch):
     assert got == {i: int(i >= 2) for i in range(40)}
 
 
+def chains():
+    """Texts of a line each: words replaced step by step, so that most near pairs join lines that no third is near to; and their templates' numbers by brute force."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for k in range(6):
+        now = ["one", "two", "three", *(word() for _ in range(12))]
+        for i in range(20):
+            if i % 7 < 6:
+                for at in rng.sample(range(3, 15 - 4 * (k % 2)), 2 + k % 2):
+                    now[at] = word()
+            rows += [" ".join(now)] * (8 if i == 9 else 1)
+    rows += ["one two three " + " ".join(word() for _ in range(8)) + " a b c d" for _ in range(30)]
+    lines = [r.split() for r in rows]
+    tree = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if tree[i] != tree[j] and sum(a != b for a, b in zip(lines[i], lines[j], strict=True)) <= 3:
+                old, new = max(tree[i], tree[j]), min(tree[i], tree[j])
+                tree = [new if x == old else x for x in tree]
+    return rows, tree
+
+
+@pytest.mark.parametrize("block", [2, 7, 1024])
+def test_large_segments_lose_no_near_lines(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rows, tree = chains()
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert len({len(r.split()) for r in rows}) == 1 and len(set(tree)) > 30
+    # Lines of 15 tokens recur from three documents on.
+    assert got == {i: int(tree.count(x) >= 3 and x != i) for i, x in enumerate(tree)}
+
+
 @pytest.mark.parametrize("rule", ["most", "start"])
 def test_token_counts_of_every_section(spark, rule):
     import public_tokenizers
