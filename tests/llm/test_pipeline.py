@@ -62,14 +62,12 @@ def test_stages_on_hard_rows(spark, tmp_path):
 
 
 def test_dropped_lines_do_not_depend_on_how_many_share_a_segment(spark, monkeypatch):
-    """Two lines that are near each other but not near the most frequent one, which both of them meet by way of a third."""
+    from test_edges import chains
+
     from panelspark.llm import line_dedup
 
-    monkeypatch.setattr(line_dedup, "BLOCK", 4)
-    word = lambda k: "".join("abcdefghij"[(k * 7 + j * j + k // 10) % 10] for j in range(3)) + chr(97 + k % 26) + chr(97 + k // 26)
-    base, now, rows = ["one", "two", "three", *(word(k) for k in range(17))], [], []
-    for i in range(12):
-        now = list(base) if i == 0 else [*now[: 2 + i], word(100 + i), word(200 + i), *now[4 + i :]]
-        rows += [" ".join(now)] * (5 if i == 0 else 1)
+    monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    rows, tree = chains()
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    assert [r["doc_id"] for r in cp.drop_lines(spark, docs, "").collect()] == [0]
+    got = sorted(r["doc_id"] for r in cp.drop_lines(spark, docs, "").collect())
+    assert got == [i for i, x in enumerate(tree) if tree.count(x) < 3 or x == i]
