@@ -7,8 +7,8 @@ segment; lines that share one are compared, and those that differ in few enough
 joined. Lines joined, directly or by others, have one template, whose variables are the positions in which
 they differ; any other line is its own template. A segment that more than ``BLOCK`` lines share is
 narrowed: the positions in which its lines vary are dealt into one part more than the fields, and near
-lines share a part again; no pair of near lines is lost, so a segment's size does not matter. Lines of
-most documents are elected before, and what is near to the same one needs no comparison. A template that
+lines share a part again; no pair of near lines is lost, so a segment's size does not matter. A few lines
+are elected before, and lines that pairs with them connect need no comparison. A template that
 enough documents share is dropped from all of them but the first: ``LEAST_DOCS`` or more, ``MIN_DOCS`` at
 most, and in between so many that documents times tokens reach ``WEIGHT``, so that the longer a template,
 the fewer.
@@ -219,58 +219,71 @@ def _split(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(segment, line, tag, v): pairs of a line and an elected one near to it, and, where v is the line itself, its places in narrower segments."""
+    """(segment, line, v): pairs of a line and an elected one near to it, and, where v is the line itself, its places in narrower segments."""
     for pdf in batches:
         pdf = pdf.sort_values("segment", kind="stable")
-        out = [np.empty((0, 4), dtype=np.int64)]
+        out = [np.empty((0, 3), dtype=np.int64)]
         for segment, a, b, codes in _runs(pdf):
-            line, tag = pdf["line"].to_numpy()[a:b], pdf["tag"].to_numpy()[a:b].copy()
+            line = pdf["line"].to_numpy()[a:b]
             part, elected = np.frombuffer(pdf["part"].iloc[a], dtype=np.uint8), pdf["elected"].iloc[a]
-            v = np.array([x["line"] for x in elected], dtype=np.int64)
-            tops = np.frombuffer(b"".join(x["codes"] for x in elected), dtype=np.uint32).reshape(len(v), -1)
             most = int(slack(np.array([codes.shape[1]]))[0])
-            # Elected lines that are near each other give one tag; each is a line of the segment, so its pairs are found too.
-            tree = near_lines(tops, v)
-            for k in range(len(v))[::-1]:
-                near = np.flatnonzero((codes != tops[k]).sum(axis=1) <= most)
-                tag[near] = v[tree[k]]
-                pairs = near[line[near] != v[k]]
-                out.append(np.stack([np.zeros_like(pairs), line[pairs], np.zeros_like(pairs), np.full_like(pairs, v[k])], axis=1))
+            for top in elected:
+                near = line[(codes != np.frombuffer(top["codes"], dtype=np.uint32)).sum(axis=1) <= most]
+                near = near[near != top["line"]]
+                out.append(np.stack([np.zeros_like(near), near, np.full_like(near, top["line"])], axis=1))
             for k in np.unique(part[part != SAME]).tolist():
                 at = np.flatnonzero(part == k)
                 with np.errstate(over="ignore"):
                     key = mix(codes[:, at].astype(np.uint64) + (at.astype(np.uint64) + np.uint64(1)) * _LEAF).sum(axis=1, dtype=np.uint64)
                     key = mix(key + np.array([segment], dtype=np.int64).view(np.uint64) * _MASK + np.uint64(k))
-                out.append(np.stack([key.view(np.int64), line, tag, line], axis=1))
-        yield pd.DataFrame(np.concatenate(out), columns=["segment", "line", "tag", "v"])
+                out.append(np.stack([key.view(np.int64), line, line], axis=1))
+        yield pd.DataFrame(np.concatenate(out), columns=["segment", "line", "v"])
+
+
+def _tiled(held: DataFrame) -> DataFrame:
+    """(segment, line, tag) of segments with ``most``, the tag of most lines and their number: those lines are dealt into tiles of about ``BLOCK``, and all others meet each tile."""
+    tiles = F.ceil(F.col("most.n") / BLOCK)
+    tile = F.when(F.col("tag") == F.col("most.tag"), F.array(F.pmod("line", tiles))).otherwise(F.sequence(F.lit(0).cast("long"), tiles - 1))
+    return held.select("segment", "line", "tag", F.explode(tile).alias("tile")).select(F.xxhash64("segment", "tile").alias("segment"), "line", "tag")
 
 
 def _narrowed(members: DataFrame, codes: DataFrame, counts: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """(pairs of near lines, members: segment, line, tag) such that pairs and nearness within segments of ``BLOCK`` lines at most connect as nearness among ``members`` does.
+    """(pairs of near lines, members: segment, line, tag) such that pairs and nearness within segments connect as nearness among ``members`` does.
 
-    A larger segment gives way to narrower ones, which agree in more positions; each varies in fewer than the one before, so this ends. Lines
-    of one tag are connected by the pairs, and a segment of one tag has nothing left to compare.
+    No segment has more than about 2 * ``BLOCK`` lines, other than those of one tag. A larger one gives way to narrower ones, which agree in
+    more positions; each varies in fewer than the one before, so this ends. Lines of one tag are connected by the pairs found so far, and are
+    not compared: a segment is tiled as soon as all but ``BLOCK`` of its lines are of one tag.
     """
-    edges, small, left = None, None, members.withColumn("tag", F.col("line"))
+    labels, small, left = None, None, members.withColumn("tag", F.col("line"))
     while True:
         sizes = left.groupBy("segment").agg(F.count("*").alias("c"), F.min("tag").alias("low"), F.max("tag").alias("high"))
-        big = sizes.where((F.col("c") > BLOCK) & (F.col("low") < F.col("high"))).select("segment")
+        big = cut(sizes.where((F.col("c") > BLOCK) & (F.col("low") < F.col("high"))).select("segment"), "big")
         if big.isEmpty():
-            return edges, left if small is None else small.unionByName(left)
-        big = cut(big, "big")
-        rest = left.join(big, "segment", "left_anti")
+            small = left if small is None else small.unionByName(left)
+            break
+        shares = left.join(big, "segment").groupBy("segment", "tag").agg(F.count("*").alias("n")).groupBy("segment").agg(F.max(F.struct("n", "tag")).alias("most"), F.sum("n").alias("c"))
+        shares = cut(shares.select("segment", "most", (F.col("c") - F.col("most.n") > BLOCK).alias("wide")), "shares")
+        rest = left.join(big, "segment", "left_anti").unionByName(_tiled(left.join(shares.where("not wide"), "segment")))
+        rest = cut(rest, "rest")
         small = rest if small is None else small.unionByName(rest)
-        voters = cut(left.join(big, "segment").join(codes, "line").join(counts.select("line", "docs"), "line"), "voters")
-        tops = voters.groupBy("segment", F.pmod("line", F.lit(LEADERS)).alias("seat")).agg(F.max(F.struct("docs", "line", "codes")).alias("top"))
+        if shares.where("wide").isEmpty():
+            break
+        voters = cut(left.join(shares.where("wide"), "segment").join(codes, "line").join(counts.select("line", "docs"), "line"), "voters")
+        # Lines that most others of the segment are not connected with are elected first, then those of most documents.
+        first = (F.col("tag") != F.col("most.tag")) | (F.col("most.n") == 1)
+        tops = voters.groupBy("segment", F.pmod("line", F.lit(LEADERS)).alias("seat")).agg(F.max(F.struct(first.alias("first"), "docs", "line", "codes")).alias("top"))
         tops = tops.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("top.line", "top.codes"))).alias("elected"))
         parts = voters.select("segment", "codes").mapInPandas(_forms, "segment long, form binary").groupBy("segment").applyInPandas(_split, "segment long, part binary")
         plans = cut(tops.join(parts, "segment"), "plans")
-        dealt = cut(voters.join(plans, "segment").select("segment", "line", "tag", "codes", "part", "elected").mapInPandas(_deal, "segment long, line long, tag long, v long"), "dealt")
+        dealt = cut(voters.join(plans, "segment").select("segment", "line", "codes", "part", "elected").mapInPandas(_deal, "segment long, line long, v long"), "dealt")
         for done in (voters, plans):
             drop_cut(done)
-        found = dealt.where("line <> v").select("line", "v")
-        edges = found if edges is None else edges.unionByName(found)
-        left = dealt.where("line = v").select("segment", "line", "tag")
+        found = dealt.where("line <> v").select(F.col("line").alias("u"), "v")
+        labels = components(found if labels is None else found.unionByName(labels.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        tagged = dealt.where("line = v").select("segment", "line").join(labels, F.col("line") == F.col("id"), "left")
+        left = cut(tagged.select("segment", "line", F.coalesce("component", "line").alias("tag")), "left")
+        drop_cut(dealt)
+    return None if labels is None else labels.select(F.col("id").alias("u"), F.col("component").alias("v")), small
 
 
 def similar_lines(lines: DataFrame, counts: DataFrame) -> DataFrame:
@@ -292,7 +305,7 @@ def similar_lines(lines: DataFrame, counts: DataFrame) -> DataFrame:
     apart = members.groupBy("segment").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").select("segment")
     meet = members.join(apart, "segment").join(codes, "line").withColumn("lot", F.pmod("segment", F.lit(members.count() // LINES_IN_LOT + 1)))
     edges = meet.groupBy("lot").applyInPandas(_compare, "u long, v long")
-    return edges if found is None else edges.unionByName(found.select(F.col("line").alias("u"), "v"))
+    return edges if found is None else edges.unionByName(found)
 
 
 def line_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

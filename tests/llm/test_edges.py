@@ -82,6 +82,23 @@ def test_large_segments_lose_no_near_lines(spark, monkeypatch, block):
     assert got == {i: int(tree.count(x) >= 3 and x != i) for i, x in enumerate(tree)}
 
 
+def test_narrowing_does_not_repeat_lines_that_are_known_to_be_connected(spark, monkeypatch):
+    """Two of 20 words differ from a text that no line is: parts agree for most lines, round after round."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 32)
+    rng = random.Random(3)
+    lines = []
+    for i in range(600):
+        codes = np.arange(20, dtype=np.uint32)
+        codes[rng.sample(range(3, 20), 2)] = [1000 + 2 * i, 1001 + 2 * i]
+        lines.append((7, i, 1, codes))
+    members = spark.createDataFrame([x[:2] for x in lines], "segment long, line long")
+    codes = spark.createDataFrame([(x[1], bytearray(x[3].tobytes())) for x in lines], "line long, codes binary")
+    pairs, left = line_dedup._narrowed(members, codes, spark.createDataFrame([x[1:3] for x in lines], "line long, docs long"))
+    assert left.count() <= 20 * len(lines)
+    near = left.join(codes, "line").groupBy("segment").applyInPandas(line_dedup._compare, "u long, v long")
+    assert [r["component"] for r in line_dedup.components(pairs.unionByName(near)).collect()] == [0] * len(lines)
+
+
 @pytest.mark.parametrize("rule", ["most", "start"])
 def test_token_counts_of_every_section(spark, rule):
     import public_tokenizers
