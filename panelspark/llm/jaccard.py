@@ -46,6 +46,8 @@ LEAST_BITS = 256
 TILE, BLOCK = 400, 4096
 #: Tiles are read in lots of about so many rows, as a Python call for each small tile would cost more than its work.
 TEXTS_IN_LOT, ROWS_IN_LOT, ENTRIES_IN_LOT = 200, 8192, 50_000
+#: About so many entries leave a Python worker in one frame, so that its memory does not grow with a batch's texts.
+ENTRIES_IN_FRAME = 32_768
 #: Size bands that share a lot's key.
 BANDS = 8
 KEY = np.uint64(0xD6E8FEB86659FD93)
@@ -255,7 +257,7 @@ def _forests(percent: int):
 
 
 def _entries(percent: int, lots: int):
-    """Prefix entries dealt by shingle and group of size bands, as arrays for each lot."""
+    """Prefix entries dealt by shingle and group of size bands, as arrays for each lot; frames of about ``ENTRIES_IN_FRAME`` entries."""
     step = math.log(100 / percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,23 +267,34 @@ def _entries(percent: int, lots: int):
             n = pdf["n"].to_numpy(np.int64)
             band = np.floor(np.log(n) / step + 1e-9).astype(np.int64)
             count = np.array([len(x) // 8 for x in pdf["prefix"]])
-            row = np.repeat(np.arange(len(pdf)), count)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            # A batch has many entries, so their arrays are narrow and go as soon as they are read.
+            row = np.repeat(np.arange(len(pdf), dtype=np.int32), count)
+            place = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
             key = np.frombuffer(b"".join(pdf["prefix"].tolist()), dtype=np.uint64)
-            group = band // BANDS
+            group = (band // BANDS).astype(np.int16)
             lower = np.flatnonzero((((band - 1) // BANDS) != group)[row])
-            row, key, place, group = np.r_[row, row[lower]], np.r_[key, key[lower]], np.r_[place, place[lower]], np.r_[group[row], group[row[lower]] - 1]
-            with np.errstate(over="ignore"):
-                code = mix(key ^ ((group + 2).astype(np.uint64) * KEY))
-            lot, short = (code % np.uint64(lots)).astype(np.int64), (code >> np.uint64(32)).astype(np.uint32)
+            group = np.r_[group[row], group[row[lower]] - np.int16(1)]
+            row, key, place = np.r_[row, row[lower]], np.r_[key, key[lower]], np.r_[place, place[lower]]
+            lot, short = np.empty(len(key), dtype=np.int32), np.empty(len(key), dtype=np.uint32)
+            for a in range(0, len(key), ENTRIES_IN_FRAME):
+                some = slice(a, a + ENTRIES_IN_FRAME)
+                with np.errstate(over="ignore"):
+                    code = mix(key[some] ^ ((group[some] + 2).astype(np.uint64) * KEY))
+                lot[some], short[some] = code % np.uint64(lots), code >> np.uint64(32)
+            del key, lower
             order = np.lexsort((row, lot))
-            ids, comp = pdf["doc_id"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)
-            out = []
+            ids, n = pdf["doc_id"].to_numpy(np.int64), n.astype(np.int32)
+            apart = ids - pdf["comp"].to_numpy(np.int64)
+            del pdf
+            out, held = [], 0
             for a, b in _runs(lot[order]):
                 o = order[a:b]
                 r = row[o]
-                out.append((int(lot[o[0]]), short[o].tobytes(), ids[r].tobytes(), (ids - comp)[r].tobytes(), n[r].astype(np.int32).tobytes(), place[o].astype(np.int32).tobytes(), group[o].astype(np.int16).tobytes()))
-            yield pd.DataFrame(out, columns=["lot", "key", "ids", "comp", "n", "place", "group"])
+                out.append((int(lot[o[0]]), short[o].tobytes(), ids[r].tobytes(), apart[r].tobytes(), n[r].tobytes(), place[o].tobytes(), group[o].tobytes()))
+                held += b - a
+                if held >= ENTRIES_IN_FRAME or b == len(order):
+                    yield pd.DataFrame(out, columns=["lot", "key", "ids", "comp", "n", "place", "group"])
+                    out, held = [], 0
 
     return run
 

@@ -1,8 +1,10 @@
 """Hard rows for every operator: nulls in any column, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,32 @@ def test_jaccard_rows_of_one_id_and_of_none(spark):
     assert {tuple(r) for r in found} == {(5, 58, 2), (5, 58, 5), (2, 59, 2), (None, 59, 5), (None, 58, None), (9, 0, 9)}
 
 
+def test_prefix_entries_leave_in_small_frames():
+    """A batch of many entries takes little memory beside itself, and every entry of it arrives."""
+    rng, lots, percent = np.random.default_rng(3), 50, 80
+    prefix = [rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in rng.integers(0, 160, 5000)]
+    n = np.array([5 * len(x) + 1 for x in prefix])
+    nodes = pd.DataFrame({"doc_id": np.arange(5000) * 3, "comp": np.arange(5000) * 3 // 2, "n": n, "prefix": [x.tobytes() for x in prefix]})
+    got = list(jaccard._entries(percent, lots)(iter([nodes])))
+    tracemalloc.start()
+    for frame in jaccard._entries(percent, lots)(iter([nodes])):
+        del frame
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    kinds = {"key": np.uint32, "ids": np.int64, "comp": np.int64, "n": np.int32, "place": np.int32, "group": np.int16}
+    cells = [tuple(np.frombuffer(r[c], dtype=k) for c, k in kinds.items()) for frame in got for r in frame.to_dict("records")]
+    have = sorted(zip(*(np.concatenate(x).tolist() for x in zip(*cells, strict=True)), strict=True))
+    want = []
+    for i, (x, size) in enumerate(zip(prefix, n.tolist(), strict=True)):
+        band = int(np.floor(np.log(size) / np.log(100 / percent) + 1e-9))
+        for group in {band // jaccard.BANDS, (band - 1) // jaccard.BANDS}:
+            with np.errstate(over="ignore"):
+                code = jaccard.mix(x ^ (np.array([group + 2]).astype(np.uint64) * jaccard.KEY)) >> np.uint64(32)
+            want += [(int(k), 3 * i, 3 * i - 3 * i // 2, size, at, group) for at, k in enumerate(code)]
+    assert have == sorted(want)
+    assert most < 60 * len(want)
+
+
 def test_hamming_of_repeated_ids_long_codes_and_empty_tables(spark):
     rows = [(1, [0, 0], "a"), (1, [0, 0], "b"), (2, [0, 1], "c"), (3, [-1, -1], "d"), (4, None, "e"), (None, [0, 0], "f"), (5, [0], "g")]
     codes = spark.createDataFrame(rows, "id long, code array<long>, rank string")
